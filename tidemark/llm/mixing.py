@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import n_words, small, stage, table, text_of
 
 BLOCK_WORDS = 32
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 1_000_000
 SEED = 17
 
 
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), most: int = 3, block_words: int =
     """
     sized = stage(docs.select("doc_id", "source", n_words(text_of()).alias("size"), order_key(seed).alias("place")), "sized")
     total = sized.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, min(65_536, -(-total // shard_words)))
+    shards = max(1, min(8_192, -(-total // shard_words)))
     sized = sized.withColumn("shard", F.conv(F.substring("place", 1, 8), 16, 10).cast("long") % shards)
     by_unit = sized.groupBy("source", "shard").agg(F.sum("size").alias("words"))
     sources = with_targets(by_unit.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)

@@ -5,7 +5,7 @@ WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS place
   FROM documents),
-n AS (SELECT greatest(1, least(65536, (sum(size) + 3999999) // 4000000))::BIGINT AS shards FROM sized),
+n AS (SELECT greatest(1, least(8192, (sum(size) + 999999) // 1000000))::BIGINT AS shards FROM sized),
 dealt AS (SELECT *, ('0x' || substr(place, 1, 8))::BIGINT % (SELECT shards FROM n) AS shard FROM sized),
 by_unit AS (SELECT source, shard, sum(size)::BIGINT AS words FROM dealt GROUP BY ALL),
 by_source AS (SELECT source, sum(words)::BIGINT AS source_size FROM by_unit GROUP BY ALL),
@@ -46,3 +46,51 @@ SELECT d.doc_id, d.size, p.source_size, round(p.target, 6) AS target,
         + greatest(0, least(d.a + d.size, (p.first + p.quota % p.blocks - p.blocks) * 32) - greatest(d.a, 0)))::BIGINT AS taken
 FROM placed d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source AND d.shard = p.shard
 """
+
+OP4 = r"""
+WITH w AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+wins AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) > 1 AS twice
+  FROM (SELECT doc_id, unnest(range(1, len(words) - 3)) AS i, unnest(list_transform(range(1, len(words) - 3), lambda k: array_to_string(words[k:k+4], chr(31)))) AS win FROM w WHERE len(words) >= 5)),
+spots AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS p FROM wins WHERE twice),
+reps AS (SELECT doc_id, count(*) AS n FROM spots GROUP BY ALL),
+dups AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY ALL),
+f AS (
+  SELECT w.doc_id, lang, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(reps.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN reps ON w.doc_id = reps.doc_id LEFT JOIN dups ON w.doc_id = dups.doc_id),
+v AS (
+  SELECT doc_id, lang, source, m.i AS metric, m.v AS v
+  FROM (SELECT *, greatest(n_words, 1) AS n FROM f) f, LATERAL (SELECT unnest([
+    {'i': 0, 'v': 1000 * word_chars // n}, {'i': 1, 'v': 10000 * n_symbols // n}, {'i': 2, 'v': 10000 * n_dup_lines // n}, {'i': 3, 'v': 10000 * n_repeat_words // n}]) AS m)),
+b AS (
+  SELECT v.lang, v.source, metric, ((v >> greatest(0, length(ltrim(bin(v), '0')) - 8)) << greatest(0, length(ltrim(bin(v), '0')) - 8)) AS bucket, count(*) AS n
+  FROM v JOIN f USING (doc_id) WHERE n_words > 0 GROUP BY ALL),
+by_source AS (
+  SELECT lang, source, metric, any_value(docs) AS docs, min(bucket) FILTER (4 * upto >= docs) AS q1, min(bucket) FILTER (4 * upto >= 3 * docs) AS q3
+  FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric) AS docs, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto FROM b) GROUP BY ALL),
+by_lang AS (
+  SELECT lang, metric, any_value(docs) AS docs, min(bucket) FILTER (4 * upto >= docs) AS q1, min(bucket) FILTER (4 * upto >= 3 * docs) AS q3
+  FROM (SELECT *, sum(n) OVER (PARTITION BY lang, metric) AS docs, sum(n) OVER (PARTITION BY lang, metric ORDER BY bucket) AS upto
+        FROM (SELECT lang, metric, bucket, sum(n) AS n FROM b GROUP BY ALL)) GROUP BY ALL),
+by_all AS (
+  SELECT metric, min(bucket) FILTER (4 * upto >= docs) AS q1, min(bucket) FILTER (4 * upto >= 3 * docs) AS q3
+  FROM (SELECT *, sum(n) OVER (PARTITION BY metric) AS docs, sum(n) OVER (PARTITION BY metric ORDER BY bucket) AS upto
+        FROM (SELECT metric, bucket, sum(n) AS n FROM b GROUP BY ALL)) GROUP BY ALL),
+lim AS (
+  SELECT lang, source, metric, q1 - (3 * (q3 - q1) + slack) AS low, q3 + 3 * (q3 - q1) + slack AS high
+  FROM (SELECT s.lang, s.source, s.metric, [4500, 1000, 3000, 1800][s.metric + 1] AS slack,
+               CASE WHEN s.docs >= 100 THEN s.q1 WHEN l.docs >= 100 THEN l.q1 ELSE a.q1 END AS q1,
+               CASE WHEN s.docs >= 100 THEN s.q3 WHEN l.docs >= 100 THEN l.q3 ELSE a.q3 END AS q3
+        FROM by_source s JOIN by_lang l ON s.lang IS NOT DISTINCT FROM l.lang AND s.metric = l.metric JOIN by_all a ON s.metric = a.metric)),
+ok AS (
+  SELECT v.doc_id, bool_and(v.v <= high AND (v.metric > 0 OR v.v >= low)) AS ok
+  FROM v JOIN lim ON v.lang IS NOT DISTINCT FROM lim.lang AND v.source IS NOT DISTINCT FROM lim.source AND v.metric = lim.metric GROUP BY ALL)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(ok, false) AS kept
+FROM f LEFT JOIN ok USING (doc_id)
+"""

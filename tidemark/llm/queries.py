@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing
-from tidemark.llm.oracles import OP10
+from tidemark.llm import mixing, quality
+from tidemark.llm.oracles import OP4, OP10
 
-QUERIES = {"op10_source_mix": mixing.query}
-ORACLES = {"op10_source_mix": OP10}
+QUERIES = {"op4_quality_rules": quality.query, "op10_source_mix": mixing.query}
+ORACLES = {"op4_quality_rules": OP4, "op10_source_mix": OP10}

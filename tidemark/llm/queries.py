@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, quality, simhash
+from tidemark.llm import langid, mixing, quality, simhash
 from tidemark.llm.oracles import OP4, OP10
 
-QUERIES = {"op2_simhash_near_dups": simhash.query, "op4_quality_rules": quality.query, "op10_source_mix": mixing.query}
+QUERIES = {"op2_simhash_near_dups": simhash.query, "op4_quality_rules": quality.query, "op7_language_id": langid.query, "op10_source_mix": mixing.query}
 ORACLES = {"op4_quality_rules": OP4, "op10_source_mix": OP10}

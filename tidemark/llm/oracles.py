@@ -94,3 +94,18 @@ SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(ok, false) AS kept
 FROM f LEFT JOIN ok USING (doc_id)
 """
+
+OP6 = r"""
+WITH lines AS (
+  SELECT doc_id, i, l, sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(l) - 1 AS at
+  FROM (SELECT doc_id, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents)),
+units AS (
+  SELECT *, array_to_string(regexp_extract_all(lower(l), '[^\x20\x09-\x0D]+'), ' ') AS norm FROM lines
+  WHERE len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) >= 5),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) AS k FROM units),
+all_lines AS (SELECT l.doc_id, l.i, l.l, l.at, r.k FROM lines l LEFT JOIN ranked r ON l.doc_id = r.doc_id AND l.i = r.i)
+SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (k IS NULL OR k = 1), '') AS text,
+       count(k)::BIGINT AS n_units, (count(*) FILTER (k > 1))::BIGINT AS n_removed,
+       coalesce(string_agg("at"::BIGINT::VARCHAR || ':' || ("at" + length(l))::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (k > 1), '') AS removed
+FROM all_lines GROUP BY doc_id
+"""

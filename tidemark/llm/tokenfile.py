@@ -14,8 +14,11 @@ no rows; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import struct
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,10 @@ MAGIC, LANES, BLOCK, SEGMENT, SCALE = b"TRA1", 32, 1 << 16, 512, 18
 LOW = np.uint64(1 << 31)
 SHARD_IDS, END_ID = 1 << 21, 1
 #: Most words whose ids a worker remembers.
-REMEMBER = 300_000
+REMEMBER = 500_000
 TOKENIZER = "word_bpe_49k.json"
+#: ASCII letters with punctuation marks behind them, apostrophes aside.
+TAILED = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 # the code
@@ -165,12 +170,63 @@ def unpack(data: bytes, first_block: int = 0, blocks: int | None = None) -> np.n
 
 class Encoder:
     """Ids of texts by a public tokenizer, looked up word by word: no token crosses ASCII white space,
-    so a text's ids are those of its words in order, and each word is encoded once and remembered."""
+    so a text's ids are those of its words in order, and each word is encoded once and remembered.
 
-    def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+    Words of letters only are one pre-token, and so end in the one token that has the end-of-word mark:
+    they are encoded together, joined by spaces, and taken apart there. Those of ASCII letters need no
+    normaliser but lower case, and go to the tokenizer's model by a plain split at spaces; so do ASCII
+    letters with marks behind them, two pre-tokens."""
 
-        self.tokenizer, self.end_id, self.known = Tokenizer.from_file(path), end_id, {}
+    def __init__(self, path: str, end_id: int):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        mark = json.loads(self.tokenizer.model.__getstate__())["end_of_word_suffix"]
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.closes[i] = bool(mark) and token.endswith(mark)
+        self.joined = bool(mark)
+        self.forget()
+
+    def forget(self) -> None:
+        """Known words by number, and the ids of number k: bank[first[k] : first[k + 1]]. Number 0 is the end id."""
+        self.known, self.bank, self.first = {}, array("I", [self.end_id]), array("q", [0, 1])
+
+    def learn(self, words: list[str]) -> None:
+        ascii_, tailed, letters, rest = [], [], [], []
+        for w in words:
+            if not self.joined:
+                rest.append(w)
+            elif w.isascii():
+                (ascii_ if w.isalpha() else tailed if TAILED.fullmatch(w) else rest).append(w)
+            elif w.isalpha() and w.lower().isalpha() and unicodedata.is_normalized("NFC", w):
+                letters.append(w)
+            else:
+                rest.append(w)
+        self.learn_joined(self.letters, ascii_, str.lower, 1)
+        self.learn_joined(self.letters, tailed, lambda w: " ".join(TAILED.fullmatch(w).groups()).lower(), 2)
+        self.learn_joined(self.tokenizer, letters, str, 1)
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self.keep(some, np.fromiter((x for w in ids for x in w), np.uint32), np.cumsum([len(w) for w in ids]))
+
+    def learn_joined(self, tokenizer, words: list[str], spelled, pre_tokens: int) -> None:
+        for i in range(0, len(words), 20_000):
+            some = words[i : i + 20_000]
+            ids = np.array(tokenizer.encode(" ".join(map(spelled, some)), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != pre_tokens * len(some):
+                raise ValueError("words and their last tokens don't match")
+            self.keep(some, ids, ends[pre_tokens - 1 :: pre_tokens])
+
+    def keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        n, at = len(self.first) - 1, self.first[-1]
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        self.bank.frombytes(ids.astype(np.uint32).tobytes())
+        self.first.frombytes((ends + at).astype(np.int64).tobytes())
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch, each text's followed by the end id, and the number of ids of each text."""
@@ -178,21 +234,16 @@ class Encoder:
         flat = words.flatten().dictionary_encode()
         uniq = flat.dictionary.to_pylist()
         if len(self.known) > REMEMBER:
-            self.known = {}
-        new = [w for w in uniq if w not in self.known]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = e.ids
-        ids = [self.known[w] for w in uniq] + [[self.end_id]]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        bank = np.fromiter((x for w in ids for x in w), np.uint32, int(size.sum()))
-        first = np.cumsum(size) - size
+            self.forget()
+        self.learn([w for w in uniq if w not in self.known])
+        number = np.fromiter(map(self.known.__getitem__, uniq), np.int64, len(uniq))
         ends = np.asarray(words.offsets)[1:] - words.offsets[0].as_py()
-        code = np.insert(np.asarray(flat.indices).astype(np.int64), ends, len(uniq))
-        per = size[code]
+        code = np.insert(number[np.asarray(flat.indices)] if len(uniq) else np.zeros(0, np.int64), ends, 0)
+        bank, first = np.frombuffer(self.bank, np.uint32), np.frombuffer(self.first, np.int64)
+        per = first[code + 1] - first[code]
         upto = np.cumsum(per)
         out = bank[np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(first[code] - (upto - per), per)]
+        del bank, first  # the arrays can't grow while they are viewed
         closing = upto[ends + np.arange(len(ends))] if len(ends) else np.zeros(0, np.int64)
         return out, np.diff(closing, prepend=0)
 
@@ -230,7 +281,7 @@ def shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_ids:
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
     """Encode docs (doc_id, text) in doc_id order into containers under path. Texts are shuffled once."""
-    bound_batches(docs.sparkSession, 1_000)
+    bound_batches(docs.sparkSession, 4_000)
 
     def run(batches):
         for batch in batches:

@@ -114,9 +114,12 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, reach: int = REACH) -> Data
 def keep_good(docs: DataFrame, min_docs: int = MIN_DOCS, reach: int = REACH) -> DataFrame:
     """The documents kept, with their own columns. Two passes over the texts, no shuffle of them while
     the groups' limits are few enough to be broadcast."""
-    limits, groups = limits_of(features(docs, ["lang", "source"]), min_docs, reach)
+    found = stage(features(docs, ["lang", "source"]), "features")
+    limits, groups = limits_of(found, min_docs, reach)
     row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), "text", "lang", "source")
-    return with_verdict(features(row, ["__row", "lang", "source"]), limits, groups).filter("kept").select("__row.*")
+    # The row number keeps the filter above the counts: pushed below, they would be worked out once for each use.
+    counted = features(row, ["__row", "lang", "source"]).withColumn("__at", F.monotonically_increasing_id())
+    return with_verdict(counted, limits, groups).filter(F.col("kept") & (F.col("__at") >= 0)).select("__row.*")
 
 
 def query(spark, sf_dir):

@@ -23,6 +23,7 @@ import re
 import string
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,8 @@ MODEL, N, MARK = "piece_bpe_32k.model", 4, "▁"
 #: Chunks that a worker remembers.
 REMEMBER = 500_000
 NEVER = float("-inf")
+#: Longer chunks are taken one by one. Bits of the table over hashes, and the hash's factors.
+LONG, TOP, MUL, MIX = 40, 20, np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class Pieces:
@@ -55,7 +58,128 @@ class Pieces:
         #: Every start of a piece, with the piece's id and score if it is one itself.
         self.starts = {p[:k]: None for p in self.of for k in range(1, len(p) + 1)} | self.of
         self.chunk = re.compile(self.cuts())
-        self.known: dict[str, tuple[float, float, bytes]] = {}
+        self.index_prefixes()
+        self.forget()
+
+    def index_prefixes(self) -> None:
+        """Starts of pieces by a 64-bit hash of their code points, sorted, with a table over its top bits."""
+        names = list(self.starts)
+        h = np.array([self.hash_of(x) for x in names], np.uint64)
+        order = np.argsort(h)
+        self.hashes = h[order]
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("two starts of pieces have one hash")
+        hits = [self.starts[names[k]] or (-1, 0.0) for k in order]
+        self.hash_piece, self.hash_score = np.array([i for i, _ in hits], np.int32), np.array([x for _, x in hits], np.float64)
+        self.buckets = np.searchsorted(self.hashes, np.arange(1 << TOP, dtype=np.uint64) << np.uint64(64 - TOP)).astype(np.int64)
+        self.buckets = np.append(self.buckets, len(h))
+        self.crowd = int(np.diff(self.buckets).max())
+        self.longest = max(map(len, names))
+
+    @staticmethod
+    def hash_of(s: str) -> int:
+        h = 0
+        for c in s:
+            h = (h * int(MUL) + ord(c) + 1) % 2**64
+        return h * int(MIX) % 2**64
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Index of each hash among the starts of pieces, -1 if it is none."""
+        top = (h >> np.uint64(64 - TOP)).astype(np.int64)
+        at, stop = self.buckets[top], self.buckets[top + 1]
+        out = np.full(len(h), -1, np.int64)
+        rest = np.flatnonzero(at < stop)
+        for _ in range(self.crowd):
+            if not len(rest):
+                break
+            same = self.hashes[at[rest]] == h[rest]
+            out[rest[same]] = at[rest[same]]
+            rest = rest[~same]
+            at[rest] += 1
+            rest = rest[at[rest] < stop[rest]]
+        return out
+
+    def forget(self) -> None:
+        """Known chunks by number; of number k: score, gap to the second best, and ids bank[first[k] : first[k + 1]]."""
+        self.known: dict[str, int] = {}
+        self.score, self.gap, self.bank, self.first = array("d"), array("d"), array("I"), array("q", [0])
+
+    def keep(self, chunks: list[str], score: np.ndarray, gap: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        n, at = len(self.score), self.first[-1]
+        self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.score.frombytes(score.tobytes()), self.gap.frombytes(gap.tobytes())
+        self.bank.frombytes(ids.astype(np.uint32).tobytes()), self.first.frombytes((np.cumsum(size) + at).astype(np.int64).tobytes())
+
+    def learn(self, chunks: list[str]) -> None:
+        """Forward Viterbi over all these chunks at once, place by place; odd and long ones one by one."""
+        plain = [c for c in chunks if len(c) <= LONG]
+        odd = [c for c in chunks if len(c) > LONG]
+        for i in range(0, len(plain), 50_000):
+            odd += self.learn_together(plain[i : i + 50_000])
+        for c in odd:
+            score, gap, ids = self.best(c)
+            self.keep([c], np.array([score]), np.array([gap]), np.frombuffer(ids, np.uint32), np.array([len(ids) // 4]))
+
+    def edges(self, points: np.ndarray, stop: np.ndarray):
+        """All lattice edges (start, length, piece, score) of concatenated chunks; stop is each place's chunk end."""
+        found, at = [], np.arange(len(points))
+        h = points + np.uint64(1)
+        for length in range(1, self.longest + 1):
+            hit = self.find(h * MIX)
+            piece = np.where(hit >= 0, self.hash_piece[hit], -1)
+            real = piece >= 0
+            found.append((at[real], np.full(real.sum(), length), piece[real], self.hash_score[hit[real]]))
+            if length == 1:
+                none = at[~real]
+                found.append((none, np.ones(len(none), np.int64), np.full(len(none), -1), np.full(len(none), self.unknown)))
+            go = (hit >= 0) & (at + length < stop[at])
+            at, h = at[go], h[go]
+            if not len(at):
+                break
+            h = h * MUL + points[at + length] + np.uint64(1)
+        return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+    def learn_together(self, chunks: list[str]) -> list[str]:
+        """Learns the chunks whose best way has no unknown character, and returns the others."""
+        marked = [self.marked(c) for c in chunks]
+        size = np.fromiter(map(len, marked), np.int64, len(marked))
+        points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        offset, number = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+        at, length, piece, score = self.edges(points, (offset + size)[number])
+        node = at + number[at]  # every chunk has one place more than characters
+        key = (at - offset[number[at]]) * 32 + length
+        order = np.argsort(key, kind="stable")
+        node, length, piece, score, key = node[order], length[order], piece[order], score[order], key[order]
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        n = len(points) + len(size)
+        best, second, last, back = np.full(n, NEVER), np.full(n, NEVER), np.full(n, -1), np.zeros(n, np.int64)
+        begin = offset + np.arange(len(size))
+        best[begin] = 0.0
+        for a, b in itertools.pairwise(cuts):  # one place and length: no two of these edges end alike
+            src, d, sc = node[a:b], length[a], score[a:b]
+            to = src + d
+            v, v2, old, old2 = best[src] + sc, second[src] + sc, best[to], second[to]
+            up = v > old
+            second[to] = np.maximum(np.where(up, old, np.maximum(old2, v)), v2)
+            best[to] = np.where(up, v, old)
+            last[to[up]], back[to[up]] = piece[a:b][up], d
+        place, live, steps = begin + size, np.arange(len(size)), []
+        count, bad = np.zeros(len(size), np.int64), np.zeros(len(size), bool)
+        while len(live):
+            steps.append((live, last[place[live]], count[live].copy()))
+            bad[live] |= steps[-1][1] < 0
+            count[live] += 1
+            place[live] -= back[place[live]]
+            live = live[place[live] > begin[live]]
+        first = np.cumsum(np.where(bad, 0, count)) - np.where(bad, 0, count)
+        ids = np.zeros(int(count[~bad].sum()), np.uint32)
+        for of, pieces_, k in steps:
+            good = ~bad[of]
+            of, pieces_, k = of[good], pieces_[good], k[good]
+            ids[first[of] + count[of] - 1 - k] = pieces_
+        good, end = np.flatnonzero(~bad), begin + size
+        self.keep([chunks[k] for k in good], best[end[good]], best[end[good]] - second[end[good]], ids, count[good])
+        return [chunks[k] for k in np.flatnonzero(bad)]
 
     def cuts(self) -> str:
         """A pattern of chunks that no piece runs over: cut before spaces and around line breaks, and
@@ -124,17 +248,13 @@ class Pieces:
         return out.tobytes()
 
     def best(self, chunk: str) -> tuple[float, float, bytes]:
-        """Score, distance of the second best, ids of the best; remembered."""
+        """Score, distance of the second best, ids of the best."""
         best, second, piece, start = self.forward(self.marked(chunk))
         way, j = [], len(chunk)
         while j:
             way.append((start[j], piece[j]))
             j = start[j]
-        found = best[-1], best[-1] - second[-1], self.ids(chunk, way[::-1])
-        if len(self.known) >= REMEMBER:
-            self.known.clear()
-        self.known[chunk] = found
-        return found
+        return best[-1], best[-1] - second[-1], self.ids(chunk, way[::-1])
 
     def nbest(self, chunk: str, n: int) -> list[tuple[float, bytes]]:
         """The n best segmentations of a chunk, best first, by backward A* under the forward scores."""
@@ -160,41 +280,47 @@ class Pieces:
         return out
 
     def encode(self, text: str | None, n: int = N) -> list[tuple[float, bytes]]:
-        """The n best segmentations (score, ids in four bytes each) of a whole text, best first."""
-        if not text:
-            return [(0.0, b"")]
-        chunks, known = self.chunk.findall(" " + text), self.known
-        found = [known.get(c) or self.best(c) for c in chunks]
-        scores, gaps, ids = zip(*found, strict=True)
-        score = sum(scores)
-        near = [k for _, k in heapq.nsmallest(n - 1, zip(gaps, range(len(gaps)), strict=True)) if gaps[k] < float("inf")]
-        options = [(k, self.nbest(chunks[k], n)) for k in near]
-        out = []
-        for drop, choice in cheapest([[o[0][0] - s for s, _ in o] for _, o in options], n):
-            some = list(ids)
-            for (k, o), c in zip(options, choice, strict=True):
-                some[k] = o[c][1] if c else some[k]
-            out.append((score - drop, b"".join(some)))
-        return out
+        return next(self.encode_batch([text], n))
+
+    def encode_batch(self, texts: list[str | None], n: int = N) -> Iterator[list[tuple[float, bytes]]]:
+        """For every text its n best segmentations (score, ids in four bytes each), best first."""
+        split = [self.chunk.findall(" " + t) if t else [] for t in texts]
+        if len(self.known) > REMEMBER:
+            self.forget()
+        known = self.known
+        self.learn([c for c in dict.fromkeys(itertools.chain.from_iterable(split)) if c not in known])
+        score, gap, bank, first = (np.array(x) for x in (self.score, self.gap, self.bank, self.first))
+        for chunks in split:
+            if not chunks:
+                yield [(0.0, b"")]
+                continue
+            code = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+            size = first[code + 1] - first[code]
+            upto = np.cumsum(size)
+            ids = bank[np.arange(upto[-1]) + np.repeat(first[code] - (upto - size), size)].tobytes()
+            total, gaps = float(score[code].sum()), gap[code]
+            near = np.argpartition(gaps, n - 2)[: n - 1] if 1 < n <= len(gaps) else np.arange(len(gaps) if n > 1 else 0)
+            near = sorted(int(k) for k in near if gaps[k] < np.inf)
+            options = [self.nbest(chunks[k], n) for k in near]
+            out = []
+            for drop, choice in cheapest([[o[0][0] - s for s, _ in o] for o in options], n):
+                parts, at = [], 0
+                for k, o, c in zip(near, options, choice, strict=True):
+                    if c:
+                        parts += [ids[at : 4 * int(upto[k] - size[k])], o[c][1]]
+                        at = 4 * int(upto[k])
+                out.append((total - drop, b"".join([*parts, ids[at:]]) if parts else ids))
+            yield out
 
     def decode(self, data: bytes) -> str:
         """The text of ids in four bytes each."""
         ids = array("I", data)
-        if None not in (parts := [self.plain[i] for i in ids]):
-            return "".join(parts)[1:]
-        out, held = [], bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                held.append(b)
-                continue
-            if held:
-                out.append(held.decode("utf-8", "surrogatepass"))
-                held.clear()
-            out.append(self.plain[i])
-        if held:
-            out.append(held.decode("utf-8", "surrogatepass"))
-        return "".join(out)[1:]
+        parts = [self.plain[i] for i in ids]
+        for at, part in enumerate(parts) if None in parts else ():
+            if part is None:  # a run of bytes is a run of characters
+                stop = next((k for k in range(at, len(parts)) if parts[k] is not None), len(parts))
+                parts[at:stop] = [bytes(self.byte_of[i] for i in ids[at:stop]).decode("utf-8", "surrogatepass"), *[""] * (stop - at - 1)]
+        return "".join(parts)[1:]
 
 
 def cheapest(costs: list[list[float]], n: int):
@@ -236,8 +362,8 @@ def segment(docs: DataFrame, *, n: int = N, model: str | None = None, with_ids:
         p = pieces(path)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ways = p.encode(text, n)
+            texts = batch["text"].tolist()
+            for doc, text, ways in zip(batch["doc_id"], texts, p.encode_batch(texts, n), strict=True):
                 each = [{"score": s, "n_pieces": len(ids) // 4, "ids_crc32": zlib.crc32(ids)} for s, ids in ways]
                 ids = ways[0][1]
                 rows.append((doc, len(ids) // 4, ways[0][0], each[0]["ids_crc32"], p.decode(ids) == (text or ""), each, *([np.frombuffer(ids, "<i4")] if with_ids else [])))

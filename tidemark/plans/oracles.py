@@ -142,6 +142,9 @@ ORACLES = {
       o AS (SELECT caller, CASE WHEN at_ = fa THEN 'applied' WHEN digest = fd THEN 'replayed' ELSE 'conflict' END AS outcome FROM f) SELECT caller, outcome, count(*) AS requests FROM o GROUP BY ALL""",
     "session_epochs": """WITH l AS (SELECT user_id AS node, event_type AS session, event_id AS seen_at, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS f FROM events)
       SELECT node, session, seen_at, (sum(f) OVER (PARTITION BY node ORDER BY seen_at))::BIGINT AS epoch FROM l""",
+    "stream_dedup": "SELECT event_id, user_id, event_type, value FROM events",
+    "stream_session_epochs": """WITH l AS (SELECT user_id AS node, event_id, event_type AS session, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS f FROM events)
+      SELECT node, event_id, session, (sum(f) OVER (PARTITION BY node ORDER BY event_id))::BIGINT AS epoch FROM l""",
     "feed_gaps": f"""WITH {CHANGES}, r AS (SELECT DISTINCT revision FROM changes WHERE event_type NOT IN ('view', 'click')), l AS (SELECT revision, lag(revision) OVER (ORDER BY revision) AS before FROM r) SELECT * FROM l WHERE revision <> before + 1""",
     "put_delete_counts": f"WITH {CHANGES} SELECT kind, event_index, count(*) AS n, max(revision) AS last_revision FROM changes GROUP BY ALL",
     "preferred_device": "SELECT l_suppkey AS node_id, l_partkey AS device, l_linenumber AS epoch FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_linenumber) = 1",

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark import relations as R
 from tidemark.functions import posix as P
-from tidemark.operators import feed, intervals, joins, lookup, placement, stats
+from tidemark.operators import feed, intervals, joins, lookup, placement, stats, transactions
 from tidemark.session import load
+from tidemark.staging import shared_folder
+from tidemark.streaming import changes as streams
 
 NOW_MS = 500_000
 BOUNDS = [1.0, 5.0, 20.0, 50.0]
@@ -392,4 +394,35 @@ def capacity(s, d):
     return c.select("used", "files", (F.lit(10**9) - F.col("used")).alias("free"))
 
 
+def conditional_transactions(s, d):
+    e = load(s, d, "events")
+    log = e.select((F.col("user_id") % 8).alias("partition"), F.col("event_id").alias("place"), F.col("user_id").cast("string").alias("caller"), F.floor(F.col("event_id") / 3).cast("string").alias("request"), F.col("event_type").alias("digest"),
+                   F.col("user_id").cast("string").alias("key"), F.when(F.col("event_type") == "signup", F.lit(0).cast("long")).alias("expect"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"), F.col("value").cast("string").alias("value"))
+    return transactions.transactions(log)
+
+
+def lease_log(s, d):
+    e = load(s, d, "events")
+    op = F.when(F.col("event_type").isin("view", "click"), "acquire").when(F.col("event_type") == "signup", "renew").when(F.col("event_type") == "error", "release").otherwise("write")
+    log = e.select(F.col("user_id").alias("partition"), F.col("event_id").alias("place"), op.alias("op"), (F.col("event_id") % 3).cast("string").alias("holder"), F.lit(1).cast("long").alias("epoch"), F.col("event_id").alias("now"), F.lit(300).cast("long").alias("ttl"))
+    return transactions.write_leases(log)
+
+
+def stream_dedup(s, d):
+    """The events through a stream that keeps each id once."""
+    out = streams.deduplicated(streams.source(s, d, "events.parquet"))
+    return streams.written(out, shared_folder(s)).select("event_id", "user_id", "event_type", "value")
+
+
+def stream_session_epochs(s, d):
+    """Session epochs kept as a stream's state; the batch form is session_epochs."""
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return streams.written(streams.session_epochs(streams.source(s, d, "events.parquet")), shared_folder(s))
+
+
+def stream_hourly_counts(s, d):
+    """Counts per hour and type of the windows that the watermark has closed."""
+    return streams.written(streams.windowed(streams.source(s, d, "events.parquet")), shared_folder(s))
+
+
 QUERIES = {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and k not in ("waits_for",)}

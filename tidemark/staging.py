@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df, computed once and written to spark.checkpoint.dir, or a fresh folder where that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share: in spark.checkpoint.dir, or in an own one where that is unset."""
     sc = spark.sparkContext
-    if not (sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        found = sc.getCheckpointDir()
+    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df, computed once and written to spark.checkpoint.dir, or a fresh folder where that is unset."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

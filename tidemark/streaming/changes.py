@@ -13,9 +13,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def source(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+def source(spark: SparkSession, folder: str, glob: str = "*.parquet", files_per_trigger: int = 1) -> DataFrame:
     """Events that arrive as Parquet files, with a timestamp that watermarks accept."""
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", glob).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def changes(events: DataFrame) -> DataFrame:
@@ -62,3 +62,12 @@ class Epochs(StatefulProcessor):
 def session_epochs(events: DataFrame) -> DataFrame:
     """The live form of session registration, keyed by node."""
     return events.groupBy("user_id").transformWithStateInPandas(Epochs(), "node long, event_id long, session string, epoch long", "Append", "none")
+
+
+def written(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now into Parquet files under a shared folder, and read them.
+
+    Progress and state lie beside the files, so a query that is started again goes on where it was."""
+    query = df.writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").outputMode(mode).trigger(availableNow=True).start(f"{folder}/rows")
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")

@@ -47,10 +47,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}/{name}"
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a path of new_path removed when the driver ends; results may read it until then."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

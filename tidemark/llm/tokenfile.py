@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, new_path, small, table, text_of
+from tidemark.llm.common import bound_batches, drop_at_exit, new_path, small, table, text_of
 
 MAGIC, LANES, BLOCK, SEGMENT, SCALE = b"TRA1", 32, 1 << 16, 512, 18
 LOW = np.uint64(1 << 31)
@@ -331,4 +331,5 @@ def query(spark, sf_dir, tokenizer: str | None = None):
 
     path = new_path(spark, "tokens")
     write(table(spark, sf_dir, "documents"), path, tokenizer or public_tokenizers.path(TOKENIZER))
+    drop_at_exit(spark, path)
     return read(spark, path)

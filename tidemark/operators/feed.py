@@ -45,7 +45,13 @@ def session_epochs(log: DataFrame, node: str, session: str, at: str) -> DataFram
 
 
 def gaps(log: DataFrame, revision: str = "revision") -> DataFrame:
-    """Revisions that don't follow the one before: a log must be contiguous. One row a revision is ordered."""
-    revs = log.select(revision).distinct()
-    before = F.lag(revision).over(Window.orderBy(revision))
-    return revs.withColumn("before", before).filter(F.col(revision) != F.col("before") + 1)
+    """Revisions that don't follow the one before, with that one: a log must be contiguous.
+
+    Ends of runs are found by anti-joins on the neighbour; only they, a few rows a gap, are ordered."""
+    revs = log.select(F.col(revision).alias("r")).distinct()
+    starts = revs.join(revs.select((F.col("r") + 1).alias("r")), "r", "left_anti").withColumn("ends", F.lit(0))
+    ends = revs.join(revs.select((F.col("r") - 1).alias("r")), "r", "left_anti").withColumn("ends", F.lit(1))
+    order = Window.orderBy("r", "ends").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.col("ends") == 1, F.col("r")), ignorenulls=True).over(order)
+    found = starts.unionByName(ends).withColumn("before", before)
+    return found.filter("ends = 0 AND before IS NOT NULL").select(F.col("r").alias(revision), "before")

@@ -20,10 +20,11 @@ def page(entries: DataFrame, keys: list[str], order: list[str], cookie: int, lim
 def soft_limit(feed: DataFrame, limit: int, revision: str = "revision") -> DataFrame:
     """At least `limit` rows by revision, never part of a revision; 0 is no limit.
 
-    Revisions are counted first, so the window runs over one row a revision, not over the feed."""
+    A revision has a row at least, so the first `limit` revisions are enough: the window runs over
+    their counts, not over the feed."""
     if limit == 0:
         return feed
-    sizes = feed.groupBy(revision).agg(F.count(F.lit(1)).alias("n"))
+    sizes = feed.groupBy(revision).agg(F.count(F.lit(1)).alias("n")).orderBy(revision).limit(limit)
     before = F.coalesce(F.sum("n").over(Window.orderBy(revision).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return feed.join(sizes.withColumn("before", before).filter(F.col("before") < limit).select(revision), revision, "left_semi")
 

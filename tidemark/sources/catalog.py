@@ -5,9 +5,11 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.feed import gaps
+
 CATALOG = "revision long, records array<struct<chunk_id:string,length:bigint,digest:string,state:string>>, checksum string"
 SNAPSHOT = "schema_version int, revision long, entities array<struct<kind:string,id:string,revision:bigint>>"
 #: A frame of the log: magic, length, revision, CRC-32 of the body.
@@ -23,10 +25,8 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def catalog_gaps(spark: SparkSession, path: str) -> DataFrame:
-    """Revisions that do not follow the one before. One row a line is ordered."""
-    revisions = spark.read.schema(CATALOG).json(path).select("revision")
-    before = F.lag("revision").over(Window.orderBy("revision"))
-    return revisions.withColumn("before", before).filter(F.col("before").isNotNull() & (F.col("revision") != F.col("before") + 1))
+    """Revisions that do not follow the one before."""
+    return gaps(spark.read.schema(CATALOG).json(path))
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:

@@ -120,8 +120,8 @@ def repeated(docs: DataFrame, **params) -> DataFrame:
     """The mix as documents, with the columns of docs: every row taken // size times, once more if at
     least half of it is left over. Only documents at the ends of a run of blocks are rounded so. A row
     without words has nothing to take and goes."""
-    mixed = mix(docs, **params).select("doc_id", F.col("place").alias("__place"), F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0).cast("int").alias("__times"))
-    mixed = mixed.filter("__times > 0").dropDuplicates(["__place"]).select("__place", "__times")
+    mixed = mix(docs, **params).select(F.col("place").alias("__place"), F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0).cast("int").alias("__times"))
+    mixed = mixed.groupBy("__place").agg(F.max("__times").alias("__times")).filter("__times > 0")  # equal rows: alike
     placed = docs.withColumn("__at", order_key(params.get("seed", SEED)))
     return placed.join(mixed, F.col("__at") == F.col("__place")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[f"`{c}`"] for c in docs.columns])
 

@@ -6,9 +6,9 @@ best way to every place; going backward from the end, A* takes them as its heuri
 so ways come off the queue in the order of their whole scores.
 
 No piece runs over a word's start, a line break and most punctuation (looked up in the vocabulary), so
-the lattice is a chain of smaller ones, a chunk each. A chunk's best and second-best scores are found once in a worker;
-among a text's N best only the N - 1 chunks whose second-best is nearest can differ from their best,
-so A* runs over those, and their choices are joined in the order of their sums.
+the lattice is a chain of smaller ones, a chunk each. A chunk's best and second-best scores are found
+once in a worker; among a text's N best only the N - 1 chunks whose second-best is nearest can differ
+from their best, so A* runs over those, and their choices are joined in the order of their sums.
 
 Defined cases: null and empty texts have no pieces, score 0 and decode to the empty text; repeated
 rows are encoded each; the mark U+2581 in a text is written as bytes, so decoding is always exact;

@@ -10,17 +10,33 @@ Defined cases: null text counts as empty; a null doc_id ranks after all others;
 doc_id and text are one document and are treated alike; removed lines take their line break along, so
 a text of removed lines only becomes empty; an empty table gives no rows; `dedup` keeps extra columns,
 and replaces those named like its own (n_units, n_removed, removed).
+
+`passages` also finds what repeats inside lines, or across them: winnowing picks, of every WINDOW runs
+of GRAM normalised characters that follow one another, the one of the least hash. Picked runs are units
+too. A text's picks in a passage depend on the passage alone, so every passage of REACH characters that
+stood before has a unit that repeats, whatever stands around it; units of neighbouring picks touch, so
+at most WINDOW - 1 characters stay at either end. Only the part of a run that overlaps the first
+occurrence in the same text stays; what goes always stays somewhere, at an earlier place.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, put, stage, table, text_of
+from tidemark.llm.common import bound_batches, put, small, stage, table, text_of
 
 MIN_WORDS, SALTS = 5, 16
+#: Characters of a line that is a unit however few its words, of a run, runs to pick one of, and their sum less one.
+MIN_CHARS, GRAM, WINDOW = 25, 128, 128
+REACH = GRAM + WINDOW - 1
+#: Digests of more units than HOT are joined by broadcast while they are few.
+HOT = 10_000
+#: A text's characters are taken in slices of SLICE, which overlap by REACH - 1.
+SLICE = 1 << 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def text_key() -> Column:
@@ -84,7 +100,157 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in keep], F.col("__text").alias("text"), "n_units", "n_removed", "removed")
 
 
+# passages
+
+
+def plain(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a text in lower case with runs of white space as one space, and their offsets."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    blank = (points <= 32) & ((points == 32) | ((points >= 9) & (points <= 13)) | (points >= 28))
+    for p in np.unique(points[points > 127]):
+        if chr(p).isspace():
+            blank |= points == p
+    points[blank] = 32
+    keep = ~blank
+    keep[1:] |= blank[1:] & ~blank[:-1]
+    at = np.flatnonzero(keep)
+    return points[at], at
+
+
+def picks(points: np.ndarray) -> np.ndarray:
+    """Starts of the picked runs: of each WINDOW runs in a row the least hash, the last one of equals."""
+    found = []
+    for lo in range(0, max(1, len(points) - REACH + 1), SLICE):
+        h = points[lo : lo + SLICE + REACH - 1].astype(np.uint64) * _MIX
+        if len(h) < REACH:
+            break
+        n, base = 1, 0x100000001B3
+        while n < GRAM:  # GRAM and WINDOW are powers of two
+            h, n, base = h[:-n] * np.uint64(base) + h[n:], 2 * n, base * base % (1 << 64)
+        h = (h ^ h >> np.uint64(29)) * _MIX
+        low = np.uint64((1 << 24) - 1)
+        least, n = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64)), 1
+        while n < WINDOW:
+            least, n = np.minimum(least[:-n], least[n:]), 2 * n
+        found.append(lo + np.unique(low - (least & low)).astype(np.int64))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def cut_finely(batches):
+    """mapInPandas: (doc_id, th, text) to one row a unit: (doc_id, th, place, digest), lines and picked runs.
+
+    A place is the number of a line, or -1 - (start << 31 | length) of a run; it takes a long, as units are
+    shuffled twice. Digests of a line and of a run never agree."""
+    import xxhash
+
+    digest_of = xxhash.xxh3_128_digest
+    for batch in batches:
+        doc, th, place, digest = [], [], [], []
+        for d, h, text in zip(batch["doc_id"], batch["th"], batch["text"], strict=True):
+            before = len(place)
+            for k, unit in enumerate(text.split("\n")):
+                words = unit.lower().split()
+                norm = " ".join(words)
+                if len(words) >= MIN_WORDS or len(norm) >= MIN_CHARS:
+                    place.append(k), digest.append(digest_of(b"l" + norm.encode("utf-8", "surrogatepass")))
+            if len(text) >= REACH:
+                points, offsets = plain(text)
+                at = picks(points)
+                place += (-1 - (offsets[at] << 31 | offsets[at + GRAM - 1] + 1 - offsets[at])).tolist()
+                digest += [digest_of(points[p : p + GRAM].tobytes()) for p in at.tolist()]
+            doc += [d] * (len(place) - before)
+            th += [h] * (len(place) - before)
+            if len(place) >= 16_384:
+                yield pd.DataFrame({"doc_id": pd.Series(doc, dtype=object), "th": th, "place": place, "digest": digest})
+                doc, th, place, digest = [], [], [], []
+        yield pd.DataFrame({"doc_id": pd.Series(doc, dtype=object), "th": th, "place": place, "digest": digest})
+
+
+def repeated_places(found: DataFrame) -> DataFrame:
+    """Rows (doc_id, th, place, keep_to) of all units but the first of their digest. Where that is of the
+    same text, keep_to is its end, and what lies before it stays."""
+    order = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("th").alias("t"), order.alias("p"))
+    firsts = stage(found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "firsts")
+    hot, cold = firsts.filter(F.col("n") > HOT), firsts.filter(F.col("n") <= HOT)
+    n = hot.count()
+    joined = found.join(small(hot.select("digest"), n), "digest", "left_anti").join(cold, "digest").unionByName(found.join(small(hot, n), "digest"))
+    own = F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("th") == F.col("first.t"))
+    end = F.shiftright("first.p", 31) + F.col("first.p").bitwiseAND((1 << 31) - 1)
+    keep_to = F.when(own & (F.col("place") < 0), end).otherwise(0).cast("int")
+    return joined.filter(~own | (order != F.col("first.p"))).select("doc_id", "th", "place", keep_to.alias("keep_to"))
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def without(text: str, gone) -> tuple[str, list[tuple[int, int]]]:
+    """The text that is left of removed units (place, keep_to), and what was removed, as disjoint spans.
+
+    A line that goes as a whole takes its line break along; a run takes what lies between its ends."""
+    lines = {g["place"] for g in gone if g["place"] >= 0}
+    coded = [(-1 - g["place"], g["keep_to"]) for g in gone if g["place"] < 0]
+    spans = [(max(c >> 31, to), (c >> 31) + (c & (1 << 31) - 1)) for c, to in coded]
+    runs = merged([(a, b) for a, b in spans if a < b])
+    out, at, k, removed = [], 0, 0, list(runs)
+    for n, unit in enumerate(text.split("\n")):
+        if n in lines:
+            removed.append((at, at + len(unit)))
+        else:
+            lo, hi = at - 1 if out else at, at + len(unit)
+            while k < len(runs) and runs[k][1] <= lo:
+                k += 1
+            j = k
+            while j < len(runs) and runs[j][0] < hi:
+                out.append(text[lo : max(lo, runs[j][0])])
+                lo, j = max(lo, runs[j][1]), j + 1
+            out.append(text[lo:hi] if lo < hi else "")
+        at += len(unit) + 1
+    return "".join(out), merged(removed)
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """As `dedup`, with repeated runs inside and across lines removed too; `removed` is disjoint spans."""
+    bound_batches(docs.sparkSession, 250)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", text_key().alias("th"), text_of().alias("text"))
+    found = stage(rows.mapInPandas(cut_finely, f"doc_id {kind}, th long, place long, digest binary"), "units")
+    gone = repeated_places(found).groupBy("doc_id", "th").agg(F.collect_list(F.struct("place", "keep_to")).alias("__gone"))
+    counts = found.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("__units"))
+    per = counts.join(gone, counts["doc_id"].eqNullSafe(gone["doc_id"]) & (counts["th"] == gone["th"]), "left").select(counts["doc_id"].alias("__d"), counts["th"].alias("__t"), "__units", "__gone")
+    keyed = docs.withColumn("__th", text_key())
+    both = keyed.join(per, keyed["doc_id"].eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
+
+    def strip(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+        done = [(t, []) if g is None or not len(g) else without(t, g) for t, g in zip(texts, gone, strict=True)]
+        return pd.DataFrame({"text": [t for t, _ in done], "removed": [[{"start": a, "end": b} for a, b in r] for _, r in done]})
+
+    left = F.pandas_udf(strip, "text string, removed array<struct<start:int,end:int>>")(text_of(), F.col("__gone"))
+    out = put(both.withColumn("__left", left), {"__text": F.col("__left.text"), "n_units": F.coalesce("__units", F.lit(0)).cast("long"), "n_removed": F.size("__left.removed").cast("long"), "__removed": F.col("__left.removed")})
+    keep = [c for c in docs.columns if c.lower() not in ("text", "n_units", "n_removed", "removed")]
+    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("__text").alias("text"), "n_units", "n_removed", F.col("__removed").alias("removed"))
+
+
+def as_text(out: DataFrame) -> DataFrame:
+    """Removed spans as start:end, by start."""
+    return out.withColumn("removed", F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ","))
+
+
 def query(spark, sf_dir):
     """op6: every document with the text that is left, and the spans removed as start:end, by start."""
-    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.withColumn("removed", F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ","))
+    return as_text(dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def query_passages(spark, sf_dir):
+    """op6, with passages inside lines: columns as those of op6_line_dedup."""
+    return as_text(passages(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -1,0 +1,29 @@
+"""The queries over whole inputs: their cut forms' SQL with the cut taken out, on tables where it cuts."""
+
+import os
+
+import pytest
+
+from test_queries import norm
+from tidemark.plans.oracles import ORACLES
+from tidemark.plans.queries import QUERIES
+
+DIR = "/root/testdata/sf0.01"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the given tables")
+CUTS = {"deadlock": "WHERE o_orderkey % 400 = 0", "lock_conflicts": "WHERE o_orderkey < 2000", "receipts_quorum": "WHERE l_orderkey < 3000", "set_difference": "AND c_custkey % 50 = 0", "name_rules": ", 1, 300"}
+
+
+@pytest.mark.parametrize("name", sorted(CUTS))
+def test_whole(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in "customer supplier orders lineitem documents".split():
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    assert CUTS[name] in ORACLES[name]
+    sql = ORACLES[name].replace("substr(coalesce(text, ''), 1, 300)", "coalesce(text, '')").replace(CUTS[name], "")
+    df = QUERIES[f"{name}_all"](spark, DIR)
+    columns = sorted(df.columns)
+    want = norm(con.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall())
+    assert norm(df.select(*columns).collect()) == want
+    assert want != norm(con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall())

@@ -104,7 +104,15 @@ def mode_rules(s, d):
 
 
 def name_rules(s, d):
-    names = load(s, d, "documents").select("doc_id", F.coalesce(F.substring("text", 1, 300), F.lit("")).alias("name"))
+    return rules_of(load(s, d, "documents").select("doc_id", F.coalesce(F.substring("text", 1, 300), F.lit("")).alias("name")))
+
+
+def name_rules_all(s, d):
+    """name_rules over whole texts."""
+    return rules_of(load(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("name")))
+
+
+def rules_of(names):
     return names.select("doc_id", P.valid_name(F.col("name")).alias("valid_name"), P.valid_target(F.col("name")).alias("valid_target"), P.low_hex(F.encode(F.substring("name", 1, 8), "UTF-8")).alias("prefix_hex"))
 
 
@@ -154,24 +162,41 @@ def ancestry(s, d):
     return joins.ancestors(R.entries(s, d)).select("inode", "ancestor", "distance")
 
 
-def waits_for(s, d):
-    """Wait-for edges between nations, for the reach of a waiter and cycles."""
-    o = load(s, d, "orders").filter("o_orderkey % 400 = 0")
+def waits_for(s, d, o):
+    """Wait-for edges between nations of orders o, for the reach of a waiter and cycles."""
     c, li, sp = load(s, d, "customer"), load(s, d, "lineitem"), load(s, d, "supplier")
     e = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(li, F.col("o_orderkey") == F.col("l_orderkey")).join(sp, F.col("l_suppkey") == F.col("s_suppkey"))
     return e.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
 
 
 def deadlock(s, d):
-    reach = joins.reachable(waits_for(s, d))
+    return reach_of(waits_for(s, d, load(s, d, "orders").filter("o_orderkey % 400 = 0")))
+
+
+def deadlock_all(s, d):
+    """deadlock over all orders."""
+    return reach_of(waits_for(s, d, load(s, d, "orders")))
+
+
+def reach_of(edges):
+    reach = joins.reachable(edges)
     return reach.groupBy("src").agg(F.count(F.lit(1)).alias("reach"), F.max(F.col("src") == F.col("dst")).alias("deadlocked"))
 
 
 def lock_conflicts(s, d):
+    return conflicts_of(s, d, load(s, d, "orders").filter("o_orderkey < 2000"))
+
+
+def lock_conflicts_all(s, d):
+    """lock_conflicts of all orders' asks."""
+    return conflicts_of(s, d, load(s, d, "orders"))
+
+
+def conflicts_of(s, d, orders):
     e = load(s, d, "lineitem")
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
     locks = e.filter("l_returnflag <> 'R'").groupBy(F.col("l_linestatus").alias("kind"), F.col("l_suppkey").alias("owner"), day.alias("start")).agg((F.max(day) + F.max("l_quantity").cast("long")).alias("end"), F.min("l_orderkey").alias("seq"), F.when(F.max("l_linenumber") > 3, "write").otherwise("read").alias("lock_type"))
-    asked = load(s, d, "orders").filter("o_orderkey < 2000").select(F.col("o_orderkey").alias("ask_id"), F.when(F.col("o_orderkey") % 2 == 0, "O").otherwise("F").alias("kind"), (F.col("o_custkey") % 10).alias("owner"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("start"), F.when(F.col("o_orderpriority").like("1%"), "write").otherwise("read").alias("lock_type"))
+    asked = orders.select(F.col("o_orderkey").alias("ask_id"), F.when(F.col("o_orderkey") % 2 == 0, "O").otherwise("F").alias("kind"), (F.col("o_custkey") % 10).alias("owner"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("start"), F.when(F.col("o_orderpriority").like("1%"), "write").otherwise("read").alias("lock_type"))
     return joins.conflicts(locks, asked.withColumn("end", F.col("start") + 3), 16)
 
 
@@ -222,7 +247,16 @@ def sparse_files(s, d):
 
 
 def receipts_quorum(s, d):
-    r = load(s, d, "lineitem").filter("l_orderkey < 3000").select(F.col("l_orderkey").alias("write_id"), F.col("l_suppkey").alias("node_id")).join(R.nodes(s, d).select("node_id", "domain"), "node_id")
+    return quorum_of(s, d, load(s, d, "lineitem").filter("l_orderkey < 3000"))
+
+
+def receipts_quorum_all(s, d):
+    """receipts_quorum of all writes."""
+    return quorum_of(s, d, load(s, d, "lineitem"))
+
+
+def quorum_of(s, d, lines):
+    r = lines.select(F.col("l_orderkey").alias("write_id"), F.col("l_suppkey").alias("node_id")).join(R.nodes(s, d).select("node_id", "domain"), "node_id")
     return stats.quorum(r, ["write_id"], 3, 2)
 
 
@@ -312,8 +346,17 @@ def first_per_key(s, d):
 
 
 def set_difference(s, d):
+    return sides_of(s, d).filter("side <> 'both' OR id % 50 = 0")
+
+
+def set_difference_all(s, d):
+    """set_difference with all of the intersection."""
+    return sides_of(s, d)
+
+
+def sides_of(s, d):
     c, o = load(s, d, "customer").select(F.col("c_custkey").alias("id")), load(s, d, "orders").select(F.col("o_custkey").alias("id")).distinct()
-    return c.exceptAll(o).select("id", F.lit("only listed").alias("side")).unionByName(c.intersect(o).filter("id % 50 = 0").select("id", F.lit("both").alias("side")))
+    return c.exceptAll(o).select("id", F.lit("only listed").alias("side")).unionByName(c.intersect(o).select("id", F.lit("both").alias("side")))
 
 
 def first_seen_order(s, d):
@@ -425,4 +468,4 @@ def stream_hourly_counts(s, d):
     return streams.written(streams.windowed(streams.source(s, d, "events.parquet")), shared_folder(s))
 
 
-QUERIES = {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and k not in ("waits_for",)}
+QUERIES = {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and k not in ("waits_for", "rules_of", "reach_of", "conflicts_of", "quorum_of", "sides_of")}

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bound_batches, stage, table
@@ -239,23 +239,42 @@ def contract(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def labelled(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Rows (fp, first_id, root): distinct fingerprints of prints (doc_id, fp), their smallest id and component."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    roots = contract(linked(distinct.select("fp"), crowd))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def components(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     prints = stage(fingerprints(docs), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = contract(linked(distinct.select("fp"), crowd))
-    labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    names = labelled.join(named, "root").select(F.col("fp").alias("n_fp"), "component_id")
+    found = labelled(prints, crowd)
+    named = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    names = found.join(named, "root").select(F.col("fp").alias("n_fp"), "component_id")
     return prints.join(names, prints["fp"] == names["n_fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def text_hash() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")))
+
+
+def row_key(doc_id: Column, th: Column) -> Column:
+    """One key of id and text hash, so that the join and the dropping of repeated rows share a shuffle."""
+    return F.when(doc_id.isNull(), F.concat(F.lit("n:"), th)).otherwise(F.concat(F.lit("i:"), doc_id.cast("string"), F.lit(":"), th))
+
+
 def keep_first(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """The documents with the smallest doc_id of each component, one row each, with their own columns.
+    """One row of each component, with its own columns: that of the smallest (doc_id, text hash), nulls last.
 
-    Texts are shuffled once; rows without an id count as one document."""
-    keep = components(docs, crowd).select(F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias("__k")).distinct()
-    kept = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(keep, "__k", "left_semi")
+    Ids need not be there nor differ. Texts are shuffled once; rows that agree in both are one document."""
+    bound_batches(docs.sparkSession)
+    prints = stage(docs.select("doc_id", F.pandas_udf(simhash, "long")("text").alias("fp"), text_hash().alias("th")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("th").alias("t"))
+    firsts = prints.groupBy("fp").agg(F.min(order).alias("first"))
+    of = labelled(prints.select("doc_id", "fp"), crowd).select(F.col("fp").alias("l_fp"), "root")
+    keep = firsts.join(of, firsts["fp"] == of["l_fp"]).groupBy("root").agg(F.min("first").alias("first")).select(row_key(F.col("first.d"), F.col("first.t")).alias("__k"))
+    kept = docs.withColumn("__k", row_key(docs["doc_id"], text_hash())).join(keep, "__k", "left_semi")
     return kept.dropDuplicates(["__k"]).select(*[docs[f"`{c}`"] for c in docs.columns])
 
 

@@ -57,3 +57,44 @@ def test_words_make_texts():
     ids, sizes = e(pa.array(texts))
     assert ids.tolist() == [x for s in texts for x in [*t.encode(s, add_special_tokens=False).ids, 1]]
     assert sizes.tolist() == [len(t.encode(s, add_special_tokens=False).ids) + 1 for s in texts]
+
+
+def test_small_memory_gives_the_same_ids():
+    import os
+
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("needs the given tables")
+    table = pq.read_table(path).sort_by("doc_id")
+    texts = [t or "" for t in table["text"].to_pylist()] + ["x<|endoftext|>y <|startoftext|>", "it's 'some o'clock 12a3 ½ ²", "ÀÈ ﬁne ŒŸ naïve_é", "a\x00b \x1cc"]
+    want = [[*e.ids, 1] for e in Tokenizer.from_file(P).encode_batch_fast(texts, add_special_tokens=False)]
+    for remember in (1_000_000, 50):
+        encode, got = T.Encoder(P, 1, remember), []
+        for batch in T.sliced([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})], 20_000):
+            ids, sizes = encode(batch.column(1))
+            got += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == want and len(encode.words) < max(remember, 20_000)
+
+
+def test_whole_table_is_read_back(spark):
+    import os
+
+    where = "/root/testdata/sf0.001"
+    if not os.path.isdir(where):
+        pytest.skip("needs the given tables")
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{where}/documents.parquet").collect())
+    t, start, want = Tokenizer.from_file(P), 0, []
+    for d, x in rows:
+        ids = [*t.encode(x, add_special_tokens=False).ids, 1]
+        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, T.query(spark, where).collect())) == want
+
+
+def test_clashing_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(2, "b c", 1, 2, "x"), (1, "a", 3, 4, "y")], "doc_id long, text string, part int, n_tokens int, container string")
+    T.write(docs, str(tmp_path / "c"), P)
+    got = T.read(spark, str(tmp_path / "c")).orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(1, 0, 2), (2, 2, 3)]

@@ -14,11 +14,8 @@ no rows; extra columns are ignored.
 from __future__ import annotations
 
 import json
-import re
 import struct
-import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +25,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, drop_at_exit, new_path, small, table, text_of
+from tidemark.llm.common import drop_at_exit, new_path, small, table, text_of
 
-MAGIC, LANES, BLOCK, SEGMENT, SCALE = b"TRA1", 32, 1 << 16, 512, 18
+MAGIC, LANES, BLOCK, SEGMENT, SCALE = b"TRA1", 64, 1 << 15, 512, 18
 LOW = np.uint64(1 << 31)
 SHARD_IDS, END_ID = 1 << 21, 1
-#: Most words whose ids a worker remembers.
-REMEMBER = 500_000
+#: Pre-tokens that a worker remembers before it forgets the rarer ones; with SLICE, what bounds its memory.
+REMEMBER, SLICE = 1_000_000, 16 << 20
 TOKENIZER = "word_bpe_49k.json"
-#: ASCII letters with punctuation marks behind them, apostrophes aside.
-TAILED = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
+#: Words that Arrow can cut: ASCII without the apostrophe, and Latin-1 letters, which are lower-cased one to one.
+PLAIN = "^[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+#: Their pre-tokens are runs of letters, single digits, and what lies between.
+PARTS = "([a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9])"
+LETTERS = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 
 
 # the code
@@ -104,7 +104,9 @@ def pack(ids: np.ndarray, extra: dict) -> bytes:
     """One container of ids. extra: what else its header holds."""
     symbols, freq = table_of(ids) if len(ids) else (np.zeros(0, np.uint32), np.zeros(0, np.uint32))
     start = np.cumsum(freq) - freq
-    index = np.searchsorted(symbols, ids).astype(np.int32)
+    index = np.zeros(int(symbols[-1]) + 1 if len(ids) else 0, np.int32)
+    index[symbols] = np.arange(len(symbols))
+    index = index[ids]
     whole = len(ids) // BLOCK
     groups, words, states, offsets, done = [], [], [], [], 0
     rest = index[whole * BLOCK :]
@@ -169,85 +171,102 @@ def unpack(data: bytes, first_block: int = 0, blocks: int | None = None) -> np.n
 
 
 class Encoder:
-    """Ids of texts by a public tokenizer, looked up word by word: no token crosses ASCII white space,
-    so a text's ids are those of its words in order, and each word is encoded once and remembered.
+    """Ids of texts by a public tokenizer, looked up by pre-token: no token crosses ASCII white space, and a
+    word's ids are those of its pre-tokens in order. Each is encoded by the library once and remembered.
 
-    Words of letters only are one pre-token, and so end in the one token that has the end-of-word mark:
-    they are encoded together, joined by spaces, and taken apart there. Those of ASCII letters need no
-    normaliser but lower case, and go to the tokenizer's model by a plain split at spaces; so do ASCII
-    letters with marks behind them, two pre-tokens."""
+    Words of ASCII and Latin-1 letters, digits and marks are lower-cased and cut into pre-tokens by Arrow, a
+    batch's distinct words at once; any other word is one entry, encoded as it stands. New pre-tokens of letters
+    are encoded together, joined by spaces, and taken apart where a token has the end-of-word mark.
 
-    def __init__(self, path: str, end_id: int):
+    What is remembered is an Arrow array of words beside their ids. When there are too many, those met since
+    the last time stay (or, if these are too many, those of the last batch), so what is common is kept however
+    many words there are."""
+
+    def __init__(self, path: str, end_id: int, remember: int = REMEMBER):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.tokenizer, self.remember = Tokenizer.from_file(path), remember
+        self.end = np.array([end_id], np.uint32)
         self.letters = Tokenizer(self.tokenizer.model)
-        self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         mark = json.loads(self.tokenizer.model.__getstate__())["end_of_word_suffix"]
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.closes[i] = bool(mark) and token.endswith(mark)
-        self.joined = bool(mark)
-        self.forget()
-
-    def forget(self) -> None:
-        """Known words by number, and the ids of number k: bank[first[k] : first[k + 1]]. Number 0 is the end id."""
-        self.known, self.bank, self.first = {}, array("I", [self.end_id]), array("q", [0, 1])
-
-    def learn(self, words: list[str]) -> None:
-        ascii_, tailed, letters, rest = [], [], [], []
-        for w in words:
-            if not self.joined:
-                rest.append(w)
-            elif w.isascii():
-                (ascii_ if w.isalpha() else tailed if TAILED.fullmatch(w) else rest).append(w)
-            elif w.isalpha() and w.lower().isalpha() and unicodedata.is_normalized("NFC", w):
-                letters.append(w)
-            else:
-                rest.append(w)
-        self.learn_joined(self.letters, ascii_, str.lower, 1)
-        self.learn_joined(self.letters, tailed, lambda w: " ".join(TAILED.fullmatch(w).groups()).lower(), 2)
-        self.learn_joined(self.tokenizer, letters, str, 1)
-        for i in range(0, len(rest), 4096):
-            some = rest[i : i + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            self.keep(some, np.fromiter((x for w in ids for x in w), np.uint32), np.cumsum([len(w) for w in ids]))
-
-    def learn_joined(self, tokenizer, words: list[str], spelled, pre_tokens: int) -> None:
-        for i in range(0, len(words), 20_000):
-            some = words[i : i + 20_000]
-            ids = np.array(tokenizer.encode(" ".join(map(spelled, some)), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != pre_tokens * len(some):
+        self.words, self.bank, self.sizes, self.met = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Remember the ids of new pre-tokens and words, and return their places."""
+        plain = np.asarray(pc.match_substring_regex(words, LETTERS))
+        joined, rest = words.filter(pa.array(plain)), words.filter(pa.array(~plain))
+        ids, sizes = [self.bank], [self.sizes]
+        for i in range(0, len(joined), 20_000):
+            some = joined.slice(i, 20_000).to_pylist()
+            found = np.array(self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[found]) + 1
+            if len(ends) != len(some):
                 raise ValueError("words and their last tokens don't match")
-            self.keep(some, ids, ends[pre_tokens - 1 :: pre_tokens])
-
-    def keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        n, at = len(self.first) - 1, self.first[-1]
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
-        self.bank.frombytes(ids.astype(np.uint32).tobytes())
-        self.first.frombytes((ends + at).astype(np.int64).tobytes())
+            ids.append(found), sizes.append(np.diff(ends, prepend=0))
+        for i in range(0, len(rest), 4096):
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(rest.slice(i, 4096).to_pylist(), add_special_tokens=False)]
+            ids.append(np.array([x for w in coded for x in w], np.uint32)), sizes.append(np.fromiter(map(len, coded), np.int64))
+        self.words, self.bank, self.sizes = pa.concat_arrays([self.words, joined, rest]), np.concatenate(ids), np.concatenate(sizes)
+        at = np.empty(len(words), np.int64)
+        at[np.append(np.flatnonzero(plain), np.flatnonzero(~plain))] = np.arange(len(self.met), len(self.met) + len(words))
+        self.met = np.append(self.met, np.ones(len(words), bool))
+        return at
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The places of distinct words in what is remembered; new ones are learned."""
+        at = np.array(pc.fill_null(pc.index_in(words, value_set=self.words), -1), np.int64)
+        new = at < 0
+        if new.any():
+            at[new] = self.learn(words.filter(pa.array(new)))
+        self.met[at] = True
+        return at
+
+    def sweep(self, last: np.ndarray) -> None:
+        """Forget what was not met since the last time, or what the last batch did not have."""
+        if len(self.words) > self.remember:
+            if 2 * self.met.sum() > self.remember:
+                self.met[:] = False
+                self.met[last] = True
+            keep = np.flatnonzero(self.met)
+            self.words = self.words.take(pa.array(keep))
+            self.bank, self.sizes = joined_up(self.bank, self.sizes, keep)
+            self.met = np.zeros(len(keep), bool)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch, each text's followed by the end id, and the number of ids of each text."""
-        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        words = pc.ascii_split_whitespace(texts.cast(pa.string()))
         flat = words.flatten().dictionary_encode()
-        uniq = flat.dictionary.to_pylist()
-        if len(self.known) > REMEMBER:
-            self.forget()
-        self.learn([w for w in uniq if w not in self.known])
-        number = np.fromiter(map(self.known.__getitem__, uniq), np.int64, len(uniq))
+        plain = pc.and_(pc.match_substring_regex(flat.dictionary, PLAIN), pc.invert(pc.match_substring(flat.dictionary, "<|")))
+        spaced = pc.replace_substring_regex(pc.utf8_lower(flat.dictionary), PARTS, r" \1 ")
+        parts = pc.ascii_split_whitespace(pc.if_else(plain, spaced, flat.dictionary))
+        entry = parts.flatten().dictionary_encode()
+        at = self.numbers(entry.dictionary)
+        bank, sizes = joined_up(self.bank, self.sizes, at[np.asarray(entry.indices)])
+        self.sweep(at)
+        upto = np.append(0, np.cumsum(sizes))[np.asarray(parts.offsets)]
+        bank, sizes = np.append(bank, self.end), np.append(np.diff(upto), 1)  # the last entry is the end id
         ends = np.asarray(words.offsets)[1:] - words.offsets[0].as_py()
-        code = np.insert(number[np.asarray(flat.indices)] if len(uniq) else np.zeros(0, np.int64), ends, 0)
-        bank, first = np.frombuffer(self.bank, np.uint32), np.frombuffer(self.first, np.int64)
-        per = first[code + 1] - first[code]
-        upto = np.cumsum(per)
-        out = bank[np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(first[code] - (upto - per), per)]
-        del bank, first  # the arrays can't grow while they are viewed
-        closing = upto[ends + np.arange(len(ends))] if len(ends) else np.zeros(0, np.int64)
+        code = np.insert(np.asarray(flat.indices), ends, len(sizes) - 1)
+        out, per = joined_up(bank, sizes, code)
+        closing = np.cumsum(per)[ends + np.arange(len(ends))] if len(ends) else np.zeros(0, np.int64)
         return out, np.diff(closing, prepend=0)
 
 
+def joined_up(bank: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries numbered by code, one behind the other, and their sizes; entry k of bank is sizes[k] long."""
+    if not len(code):
+        return bank[:0], np.zeros(0, np.int64)
+    per = sizes[code]
+    upto = np.cumsum(per)
+    at = np.repeat((np.cumsum(sizes) - sizes)[code] - (upto - per), per)
+    at += np.arange(len(at))
+    return bank[at], per
+
+
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
@@ -258,6 +277,16 @@ def encoder(path: str, end_id: int) -> Encoder:
     return _ENCODERS[path, end_id]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches of rows (doc_id, text, ...) of at most `most` bytes of text, or of a single row."""
+    for batch in batches:
+        upto, at = np.cumsum(np.asarray(pc.binary_length(batch.column(1)), np.int64)), 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_ids: int) -> Iterator[tuple[int, int, int, bytes]]:
     """Rows (shard, first, n, container) of one partition's documents in their order; first counts from the partition's start."""
     encode, docs, counts, ids, held, shard, first = encoder(path, end_id), [], [], [], 0, 0, 0
@@ -266,7 +295,7 @@ def shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_ids:
         data = pack(np.concatenate(ids), {"docs": docs, "counts": counts})
         return shard, first, held, data
 
-    for batch in batches:
+    for batch in sliced(batches):
         found, sizes = encode(batch.column(1))
         at = 0
         for doc, n in zip(batch.column(0).to_pylist(), sizes.tolist(), strict=True):
@@ -281,7 +310,6 @@ def shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_ids:
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
     """Encode docs (doc_id, text) in doc_id order into containers under path. Texts are shuffled once."""
-    bound_batches(docs.sparkSession, 4_000)
 
     def run(batches):
         for batch in batches:

@@ -78,20 +78,59 @@ def test_adaptive_verdict(spark):
 
 def test_lines(spark):
     line = "this very line  stands in MANY documents"
-    rows = [(5, f"{line}\nown words of five here", 1), (3, f"top of three has words\nThis very line stands in many  documents\nshort one", 1), (9, line, 1), (None, line, 1), (4, None, 1), (6, "", 1), (7, "short one\nshort one", 1), (3, f"top of three has words\nThis very line stands in many  documents\nshort one", 1), (8, f"é {line} x\n" * 3, 1)]
+    rows = [(5, f"{line}\nown words of five here", 1), (3, f"top of three has words\nThis very line stands in many  documents\nshort one", 1), (9, line, 1), (None, line, 1), (4, None, 1), (6, "", 1), (7, "short one\nshort one", 1), (3, f"top of three has words\nThis very line stands in many  documents\nshort one", 1), (8, f"é {line} x\n" * 3, 1), (10, f"before it all. {line}, more words; short one\n \t\n", 1), (11, f"another start. {line}, \tmore words; and an end ", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_removed int")
-    got = linededup.dedup(df).collect()
+    got = linededup.dedup(df, run_words=7).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     assert by[3].n_removed == 0 and by[3].text == rows[1][1]
     assert by[5].text == "own words of five here" and [tuple(s) for s in by[5].removed] == [(0, len(line))]
     assert by[9].text == by[None].text == by[4].text == by[6].text == "" and by[9].n_units == 1
-    assert by[7].text == "short one\nshort one" and by[7].n_units == 0
+    assert by[7].text == "short one\nshort one" and by[7].n_units == 2 and by[7].n_removed == 0
     first = f"é {line} x"
     assert by[8].text == first + "\n" and [tuple(s) for s in by[8].removed] == [(len(first) + 1, 2 * len(first) + 1), (2 * len(first) + 2, 3 * len(first) + 2)]
+    assert by[10].text == rows[9][1] and by[10].n_units == 4
+    assert by[11].text == "another start. and an end " and by[11].n_removed == 2 and [tuple(s) for s in by[11].removed] == [(14, 15 + len(line) + 1), (15 + len(line) + 1, 15 + len(line) + 1 + len(" \tmore words;"))]
     assert linededup.dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_runs_against_brute_force(spark, monkeypatch, hot):
+    import random
+
+    monkeypatch.setattr(linededup, "HOT", hot)
+    rng = random.Random(11)
+    bank = [" ".join(rng.choice(["ab", "Cd", "éf", "g"]) for _ in range(rng.randint(1, 4))) + rng.choice([".", ",", "", '?"', "a.b"]) for _ in range(12)]
+    rows = [(k, "".join(rng.choice(bank) + rng.choice([" ", "\n", "  ", "\t"]) for _ in range(rng.randint(0, 30)))) for k in range(60)]
+    rows.append((61, "x" * 100_000 + " y. " * 30_000))
+    pieces, seen = {}, {}
+    for d, t in rows:  # words with the unit ends behind them, a word at a time
+        units, words = [], []
+        for line in t.split("\n"):
+            for w in re.findall(r"[^\x20\x09-\x0D]+", line):
+                words.append(w.lower())
+                if re.search(r"""[.!?,;:]["')\]]*$""", w):
+                    units.append(tuple(words))
+                    words = []
+            if words:
+                units.append(tuple(words))
+                words = []
+        pieces[d] = units
+        for k, u in enumerate(units):
+            seen.setdefault(u, (d, k))
+    for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), run_words=9).collect():
+        gone, run = 0, []
+        for k, u in enumerate([*pieces[r.doc_id], None]):
+            if u is not None and seen[u] != (r.doc_id, k):
+                run.append(len(u))
+            else:
+                gone, run = gone + (len(run) if sum(run) >= 9 else 0), []
+        assert (r.n_units, r.n_removed) == (len(pieces[r.doc_id]), gone)
+        t = dict(rows)[r.doc_id]
+        cut = [t[a:b] for a, b in r.removed]
+        assert len(" ".join(cut).split()) + len(r.text.split()) == len(t.split())
+
+
 # mixing
 
 

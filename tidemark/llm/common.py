@@ -77,3 +77,13 @@ def bound_batches(spark: SparkSession, rows: int = 2_000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
+
+
+def in_slices(batches, column: str = "text", most: int = 8 << 20):
+    """pandas batches cut so that the texts of one have at most `most` characters together, or it is one row."""
+    for batch in batches:
+        upto, at = batch[column].str.len().fillna(0).cumsum().to_numpy(), 0
+        while at < len(batch):
+            stop = max(at + 1, int(upto.searchsorted((upto[at - 1] if at else 0) + most, "right")))
+            yield batch.iloc[at:stop]
+            at = stop

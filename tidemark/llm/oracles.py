@@ -99,13 +99,26 @@ OP6 = r"""
 WITH lines AS (
   SELECT doc_id, i, l, sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(l) - 1 AS at
   FROM (SELECT doc_id, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents)),
+toks AS (
+  SELECT doc_id, i, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS w
+  FROM (SELECT doc_id, i, regexp_extract_all(l, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS w FROM lines)),
+numbered AS (
+  SELECT *, coalesce(sum(CASE WHEN regexp_matches(w, '[.!?,;:]["'')\]]*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM toks),
 units AS (
-  SELECT *, array_to_string(regexp_extract_all(lower(l), '[^\x20\x09-\x0D]+'), ' ') AS norm FROM lines
-  WHERE len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) >= 5),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) AS k FROM units),
-all_lines AS (SELECT l.doc_id, l.i, l.l, l.at, r.k FROM lines l LEFT JOIN ranked r ON l.doc_id = r.doc_id AND l.i = r.i)
-SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (k IS NULL OR k = 1), '') AS text,
-       count(k)::BIGINT AS n_units, (count(*) FILTER (k > 1))::BIGINT AS n_removed,
-       coalesce(string_agg("at"::BIGINT::VARCHAR || ':' || ("at" + length(l))::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (k > 1), '') AS removed
-FROM all_lines GROUP BY doc_id
+  SELECT doc_id, i, u, string_agg(w, '' ORDER BY k) AS tile, lower(string_agg(regexp_replace(w, '^[\x20\x09-\x0D]+', ''), ' ' ORDER BY k)) AS norm, count(*) AS words FROM numbered GROUP BY ALL),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, u) AS j, sum(length(tile)) OVER (PARTITION BY doc_id, i ORDER BY u) AS upto,
+         lead(u) OVER (PARTITION BY doc_id, i ORDER BY u) IS NULL AS last FROM units),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, j) > 1 AS later FROM placed),
+runs AS (SELECT *, j - row_number() OVER (PARTITION BY doc_id, later ORDER BY j) AS run FROM ranked),
+judged AS (SELECT *, later AND sum(words) OVER (PARTITION BY doc_id, later, run) >= 40 AS gone FROM runs),
+spans AS (
+  SELECT j.doc_id, j.i, j.j, j.u, gone, "at" + upto - length(tile) AS a, CASE WHEN last THEN "at" + length(l) ELSE "at" + upto END AS b, l, "at" FROM judged j JOIN lines n ON j.doc_id = n.doc_id AND j.i = n.i),
+left_lines AS (
+  SELECT n.doc_id, n.i, CASE WHEN any_value(s.u) IS NULL THEN n.l ELSE string_agg(substr(n.l, (s.a - n.at + 1)::BIGINT, (s.b - s.a)::BIGINT), '' ORDER BY s.u) FILTER (NOT s.gone) END AS l
+  FROM lines n LEFT JOIN spans s ON n.doc_id = s.doc_id AND n.i = s.i GROUP BY n.doc_id, n.i, n.l),
+texts AS (SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY i), '') AS text FROM left_lines GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, string_agg(a::BIGINT::VARCHAR || ':' || b::BIGINT::VARCHAR, ',' ORDER BY j) FILTER (gone) AS removed FROM spans GROUP BY doc_id)
+SELECT t.doc_id, text, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed FROM texts t LEFT JOIN counts USING (doc_id)
 """

@@ -56,21 +56,52 @@ def test_counts(spark):
 
 
 def test_sketches_merge(spark):
-    df = spark.createDataFrame([("en", f"s{i % 3}", i % 40 + 1, 5 * (i % 40 + 1) + i % 7, 0, 0, 0) for i in range(600)], "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    df = spark.createDataFrame([("en", f"s{i % 3}", i % 40 + 1, 5 * (i % 40 + 1) + i % 7, 0, 0, 0, 9) for i in range(600)], "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
     parts = [quality.sketches(df.filter(f"word_chars % 2 = {k}")) for k in (0, 1)]
     merge = lambda s: {tuple(r)[:4]: r.n for r in s.groupBy("lang", "source", "metric", "bucket").agg({"n": "sum"}).toDF("lang", "source", "metric", "bucket", "n").collect()}
     assert merge(parts[0].unionByName(parts[1])) == merge(quality.sketches(df))
     values = sorted(1000 * r.word_chars // r.n_words for r in df.collect())
-    q = quality.quartiles(quality.sketches(df), []).filter("metric = 0").first()
-    for found, exact in ((q.q1, values[len(values) // 4]), (q.q3, values[3 * len(values) // 4])):
+    q = quality.quantiles(quality.sketches(df), []).filter("metric = 0").first()
+    for found, exact in ((q.low, values[len(values) // 10]), (q.mid, values[len(values) // 2]), (q.high, values[9 * len(values) // 10])):
         assert abs(found - exact) <= exact / 64
 
 
 def test_adaptive_verdict(spark):
     plain = lambda i: " ".join(f"word{(i * 7 + k * k) % 97}" for k in range(40))
     rows = [(i, plain(i), "en", "a") for i in range(200)] + [(900, " ".join(f"w{k}###" for k in range(40)), "en", "a"), (901, " ".join("supercalifragilistic%d" % k for k in range(40)), "en", "rare")]
+    rows += [(902, " ".join(f"w{k}" for k in range(40)), "en", "a"), (903, plain(3) + " $", "en", "a")]
     kept = {r.doc_id for r in quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert kept == set(range(200))
+    assert kept == set(range(200)) | {903}
+
+
+def test_limits_follow_the_data(spark):
+    """In two groups of unlike habits every metric has its own limit, and what one group rejects the other keeps."""
+    rows = []
+    for k, (source, size, noise) in enumerate((("terse", 4, 1), ("wordy", 9, 8))):
+        for i in range(200):
+            n = i % 10 + 1
+            words = ["x" * (size + (i + j) % 3) + str(j * 1000 + i) for j in range(60)]
+            words[10 : 10 + noise * n] = [w + "%" for w in words[10 : 10 + noise * n]][: noise * n]
+            text = " ".join(words) + "".join("\nsome line" if i < 20 * noise and j < noise * n else f"\nl{i} {j}" for j in range(40))
+            text += " a b c d e f" * (2 if i < 6 * noise else 0)
+            rows.append((1000 * k + i, text, "en", source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    limits = {r.t_source: r for r in quality.thresholds(quality.sketches(quality.features(df, ["lang", "source"]))).collect()}
+    for name in quality.METRICS:
+        terse, wordy = limits["terse"][f"t_{name}"], limits["wordy"][f"t_{name}"]
+        assert terse.high < wordy.high, name
+    louder = [(5000 + k, rows[200 * k + 163][1].replace(" ", "% ", 24), "en", rows[200 * k][3]) for k in (0, 1)]
+    more = df.unionByName(spark.createDataFrame(louder, df.schema))
+    kept = {r.doc_id for r in quality.judge(more).filter("kept").collect()}
+    assert 5001 in kept and 5000 not in kept
+
+
+def test_copies_do_not_set_the_limits(spark):
+    """A group that is mostly copies has no spread of its own and takes its language's."""
+    plain = lambda i: " ".join("w" * (3 + (i * k) % 5) + str(k) for k in range(40))
+    rows = [(i, plain(7), "en", "copies") for i in range(190)] + [(1000 + i, plain(i), "en", "copies") for i in range(10)] + [(2000 + i, plain(i), "en", "other") for i in range(200)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert got.filter("NOT kept").count() == 0
 
 
 # line dedup

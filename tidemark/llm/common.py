@@ -72,11 +72,11 @@ def put(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken], *[v.alias(k) for k, v in columns.items()])
 
 
-def bound_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Keep Arrow batches of whole texts small, unless the session has set its own size."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound the bytes of Arrow batches of whole texts, alike for every operator, unless the session has its own bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # Spark's default
+        spark.conf.set(key, size)
 
 
 def in_slices(batches, column: str = "text", most: int = 8 << 20):

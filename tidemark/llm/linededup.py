@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_slices, put, stage, table, text_of
+from tidemark.llm.common import bound_batches, in_slices, put, stage, table, text_of
 
 #: Ends of units inside a line: a mark, what closes it, and white space behind.
 ENDS = re.compile(r"[.!?,;:][\"')\]]*(?=[\x20\x09-\x0D])")
@@ -87,6 +87,7 @@ def cut(batches):
 
 
 def units(docs: DataFrame) -> DataFrame:
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_key().alias("th"), text_of().alias("text"))
     return rows.mapInPandas(cut, f"doc_id {kind}, th long, unit int, h1 long, h2 long")
@@ -276,6 +277,7 @@ def without(text: str, gone) -> tuple[str, list[tuple[int, int]]]:
 
 def passages(docs: DataFrame) -> DataFrame:
     """As `dedup`, with repeated runs inside and across lines removed too; `removed` is disjoint spans."""
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_key().alias("th"), text_of().alias("text"))
     found = stage(rows.mapInPandas(cut_finely, f"doc_id {kind}, th long, place long, digest binary"), "units")

@@ -58,36 +58,36 @@ reps AS (SELECT doc_id, count(*) AS n FROM spots GROUP BY ALL),
 dups AS (
   SELECT doc_id, count(*) - count(DISTINCT l) AS n
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY ALL),
+lens AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY ALL),
 f AS (
-  SELECT w.doc_id, lang, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+  SELECT w.doc_id, lang, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, coalesce(lens.n, 0) AS n_lines,
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(reps.n, 0)::BIGINT AS n_repeat_words
-  FROM w LEFT JOIN reps ON w.doc_id = reps.doc_id LEFT JOIN dups ON w.doc_id = dups.doc_id),
-v AS (
-  SELECT doc_id, lang, source, m.i AS metric, m.v AS v
+  FROM w LEFT JOIN reps ON w.doc_id = reps.doc_id LEFT JOIN dups ON w.doc_id = dups.doc_id LEFT JOIN lens ON w.doc_id = lens.doc_id),
+raw AS (
+  SELECT doc_id, lang, source, n_words, m.i AS metric, m.v AS v
   FROM (SELECT *, greatest(n_words, 1) AS n FROM f) f, LATERAL (SELECT unnest([
-    {'i': 0, 'v': 1000 * word_chars // n}, {'i': 1, 'v': 10000 * n_symbols // n}, {'i': 2, 'v': 10000 * n_dup_lines // n}, {'i': 3, 'v': 10000 * n_repeat_words // n}]) AS m)),
-b AS (
-  SELECT v.lang, v.source, metric, ((v >> greatest(0, length(ltrim(bin(v), '0')) - 8)) << greatest(0, length(ltrim(bin(v), '0')) - 8)) AS bucket, count(*) AS n
-  FROM v JOIN f USING (doc_id) WHERE n_words > 0 GROUP BY ALL),
+    {'i': 0, 'v': 1000 * word_chars // n}, {'i': 1, 'v': 10000 * greatest(n_symbols - 1, 0) // n},
+    {'i': 2, 'v': 10000 * greatest(n_dup_lines - 1, 0) // greatest(n_lines, 1)}, {'i': 3, 'v': 10000 * greatest(n_repeat_words - 1, 0) // n}]) AS m)),
+v AS (SELECT doc_id, lang, source, n_words, metric, (v >> greatest(0, length(ltrim(bin(v), '0')) - 8)) << greatest(0, length(ltrim(bin(v), '0')) - 8) AS v FROM raw),
+b AS (SELECT lang, source, metric, v AS bucket, count(*) AS n, [90, 90, 98, 98][metric + 1] AS tail FROM v WHERE n_words > 0 GROUP BY ALL),
 by_source AS (
-  SELECT lang, source, metric, any_value(docs) AS docs, min(bucket) FILTER (4 * upto >= docs) AS q1, min(bucket) FILTER (4 * upto >= 3 * docs) AS q3
+  SELECT lang, source, metric, any_value(docs) AS docs, min(bucket) FILTER (100 * upto >= (100 - tail) * docs) AS low, min(bucket) FILTER (2 * upto >= docs) AS mid, min(bucket) FILTER (100 * upto >= tail * docs) AS high
   FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric) AS docs, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto FROM b) GROUP BY ALL),
 by_lang AS (
-  SELECT lang, metric, any_value(docs) AS docs, min(bucket) FILTER (4 * upto >= docs) AS q1, min(bucket) FILTER (4 * upto >= 3 * docs) AS q3
+  SELECT lang, metric, any_value(docs) AS docs, min(bucket) FILTER (100 * upto >= (100 - tail) * docs) AS low, min(bucket) FILTER (2 * upto >= docs) AS mid, min(bucket) FILTER (100 * upto >= tail * docs) AS high
   FROM (SELECT *, sum(n) OVER (PARTITION BY lang, metric) AS docs, sum(n) OVER (PARTITION BY lang, metric ORDER BY bucket) AS upto
-        FROM (SELECT lang, metric, bucket, sum(n) AS n FROM b GROUP BY ALL)) GROUP BY ALL),
+        FROM (SELECT lang, metric, tail, bucket, sum(n) AS n FROM b GROUP BY ALL)) GROUP BY ALL),
 by_all AS (
-  SELECT metric, min(bucket) FILTER (4 * upto >= docs) AS q1, min(bucket) FILTER (4 * upto >= 3 * docs) AS q3
+  SELECT metric, min(bucket) FILTER (100 * upto >= (100 - tail) * docs) AS low, min(bucket) FILTER (2 * upto >= docs) AS mid, min(bucket) FILTER (100 * upto >= tail * docs) AS high
   FROM (SELECT *, sum(n) OVER (PARTITION BY metric) AS docs, sum(n) OVER (PARTITION BY metric ORDER BY bucket) AS upto
-        FROM (SELECT metric, bucket, sum(n) AS n FROM b GROUP BY ALL)) GROUP BY ALL),
+        FROM (SELECT metric, tail, bucket, sum(n) AS n FROM b GROUP BY ALL)) GROUP BY ALL),
 lim AS (
-  SELECT lang, source, metric, q1 - (3 * (q3 - q1) + slack) AS low, q3 + 3 * (q3 - q1) + slack AS high
-  FROM (SELECT s.lang, s.source, s.metric, [4500, 1000, 3000, 1800][s.metric + 1] AS slack,
-               CASE WHEN s.docs >= 100 THEN s.q1 WHEN l.docs >= 100 THEN l.q1 ELSE a.q1 END AS q1,
-               CASE WHEN s.docs >= 100 THEN s.q3 WHEN l.docs >= 100 THEN l.q3 ELSE a.q3 END AS q3
-        FROM by_source s JOIN by_lang l ON s.lang IS NOT DISTINCT FROM l.lang AND s.metric = l.metric JOIN by_all a ON s.metric = a.metric)),
+  SELECT s.lang, s.source, s.metric, CASE WHEN s.docs >= 100 THEN s.mid WHEN l.docs >= 100 THEN l.mid ELSE a.mid END AS mid,
+         CASE WHEN s.docs >= 100 AND s.mid > s.low THEN s.mid - s.low WHEN l.docs >= 100 AND l.mid > l.low THEN l.mid - l.low ELSE a.mid - a.low END AS below,
+         CASE WHEN s.docs >= 100 AND s.high > s.mid THEN s.high - s.mid WHEN l.docs >= 100 AND l.high > l.mid THEN l.high - l.mid ELSE a.high - a.mid END AS above
+  FROM by_source s JOIN by_lang l ON s.lang IS NOT DISTINCT FROM l.lang AND s.metric = l.metric JOIN by_all a ON s.metric = a.metric),
 ok AS (
-  SELECT v.doc_id, bool_and(v.v <= high AND (v.metric > 0 OR v.v >= low)) AS ok
+  SELECT v.doc_id, bool_and(v.v <= mid + 3 * above AND (v.metric > 0 OR v.v >= mid - 3 * below)) AS ok
   FROM v JOIN lim ON v.lang IS NOT DISTINCT FROM lim.lang AND v.source IS NOT DISTINCT FROM lim.source AND v.metric = lim.metric GROUP BY ALL)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,

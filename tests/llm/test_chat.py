@@ -36,14 +36,15 @@ def test_windows_keep_to_the_budget():
         if rng.random() < 0.5:
             turns.insert(0, ("system", "s " * 5))
         count = lambda x: len(x.split())
-        got = list(C.windows(turns, count, 60, 20))
+        size = lambda r, t: count(C.render(r, t)[0])
+        got = list(C.windows([(r, t, size(r, t)) for r, t in turns], 60, 20))
         system = turns[0][0] == "system"
         own = []
         for n, first, n_system, n_history, n_own, tokens, text, loss in got:
             parts = C.parse(text)
             assert len(parts) == n_system + n_history + n_own and n_system == system
-            assert tokens <= 60 or n_own == 1
-            assert sum(count(f"{r}\n{t}") for r, t in parts[n_system : n_system + n_history]) <= 20
+            assert count(text) == tokens and (tokens <= 60 or n_own == 1)
+            assert sum(size(r, t) for r, t in parts[n_system : n_system + n_history]) <= 20
             assert parts[n_system : n_system + n_history] == own[len(own) - n_history :] and first == len(own)
             own += parts[n_system + n_history :]
             assert [C.unescape(text[s["start"] : s["end"]]) for s in loss] == [t for r, t in parts[n_system + n_history :] if r == "assistant"]
@@ -64,6 +65,22 @@ def test_odd_rows(spark):
     assert C.read_back(C.form(df.limit(0))).count() == 0
 
 
+def test_written_windows_keep_to_the_budget(spark):
+    """By the tokens of the text itself, with the real vocabulary."""
+    rows = [(1, i, ("user", "assistant")[i % 2], "ok" if i % 3 else "[<\\\n" * (i % 7)) for i in range(3000)]
+    rows += [(2, i, "user", "word " * 900 + "x" * (i % 5)) for i in range(5)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    if os.path.isdir("/root/testdata/sf0.01"):
+        turns = turns.unionByName(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select(turns.columns))
+    count = C.counter(pytest.importorskip("public_tokenizers").path(C.TOKENS))
+    several = 0
+    for w in C.form(turns).collect():
+        n = count(w.text)
+        assert n <= w.tokens and (n <= C.BUDGET or w.n_own == 1)
+        several += w.n_own > 1
+    assert several > 50
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the given tables")
 def test_table(spark):
     by = {-1: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}

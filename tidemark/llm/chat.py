@@ -7,9 +7,11 @@ the budget. A window holds the system turn (if the first turn is one), as much o
 budget, and its own turns. Only assistant turns that are a window's own are under its loss mask, so a
 target that is repeated as history is masked out.
 
-Conversations are dealt by id and sorted by turn, and a task streams through them: it holds one window
-and its history, never a conversation, however long that is. A turn alone over the budget is a window
-of its own; it is not cut.
+Turns are marked and their tokens counted where they are read, as the text that is written. Conversations
+are then dealt by id and sorted by turn, and a task streams through them: it holds one window and its
+history, never a conversation, however long that is; what it does for a turn is to add up its tokens. So a
+conversation that holds a third of all turns is one task's work, but a light one. A turn alone over the
+budget is a window of its own; it is not cut.
 
 Defined cases: a null text or role is empty; a null conversation id is a conversation; turns that tie
 are ordered by role and text, repeated rows are repeated turns; a system turn that is not first is a
@@ -79,13 +81,13 @@ _COUNTERS: dict = {}
 class Turn:
     __slots__ = ("marked", "start", "end", "target", "upto", "tokens")
 
-    def __init__(self, role: str, text: str, upto: int, tokens: int):
+    def __init__(self, role: str, text: str, tokens: int, upto: int):
         self.marked, self.start, self.end = render(role, text)
         self.target, self.tokens, self.upto = role == "assistant", tokens, upto + tokens
 
 
-def windows(turns: Iterable[tuple[str, str]], count, budget: int, history: int) -> Iterator[tuple]:
-    """Windows of one conversation's (role, text) turns, in order."""
+def windows(turns: Iterable[tuple[str, str, int]], budget: int, history: int) -> Iterator[tuple]:
+    """Windows of one conversation's (role, text, tokens) turns, in order; tokens are those of the marked turn."""
     system, past, own, upto, place, number = None, [], [], 0, 0, 0
 
     def close():
@@ -101,8 +103,8 @@ def windows(turns: Iterable[tuple[str, str]], count, budget: int, history: int)
         floor = turns_[-1].upto - most if turns_ else 0
         return [t for t in turns_ if t.upto - t.tokens >= floor]
 
-    for role, text in turns:
-        turn = Turn(role, text, upto, count(f"{role}\n{text}"))
+    for role, text, tokens in turns:
+        turn = Turn(role, text, tokens, upto)
         upto = turn.upto
         if place == 0 and number == 0 and system is None and not own and role == "system":
             system = turn
@@ -140,12 +142,18 @@ def form(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, toke
 
     path = tokenizer or public_tokenizers.path(TOKENS)
     bound_batches(turns.sparkSession)
-    rows = dealt(turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), "turn", "role", "text")
+
+    def tokens_of(roles: pd.Series, texts: pd.Series) -> pd.Series:
+        count = counter(path)
+        return pd.Series([count(render(r, t)[0]) for r, t in zip(roles, texts, strict=True)], dtype="int64")
+
+    plain = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = dealt(plain.withColumn("tokens", F.pandas_udf(tokens_of, "long")("role", "text")), "turn", "role", "text")
 
     def run(batches):
-        count, out, held = counter(path), [], 0
+        out, held = [], 0
         for conv, rows_ in grouped(batches, "conv_id"):
-            for w in windows(((r, t) for _, r, t in rows_), count, budget, history):
+            for w in windows(((r, t, n) for _, r, t, n in rows_), budget, history):
                 out.append((conv, *w))
                 held += len(w[6])
                 if held > 4_000_000:
@@ -154,7 +162,7 @@ def form(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, toke
         yield frame(out)
 
     kind = turns.schema["conv_id"].dataType.simpleString()
-    return rows.select("conv_id", "role", "text").mapInPandas(run, f"conv_id {kind}, {WINDOW}")
+    return rows.select("conv_id", "role", "text", "tokens").mapInPandas(run, f"conv_id {kind}, {WINDOW}")
 
 
 def frame(rows: list[tuple]) -> pd.DataFrame:
@@ -172,6 +180,10 @@ def parse(text: str) -> list[tuple[str, str]]:
     return found
 
 
+def summary(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": object})
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """One row per conversation, from its windows alone: turns in order, repeats left out, and the text under the loss masks."""
     rows = dealt(formatted.select("conv_id", "window", "n_system", "n_history", "text", "loss"), "window")
@@ -191,7 +203,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     loss_chars += len(body)
                 n, chars = n + len(fresh), chars + len(text)
             out.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
-        yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": object})
+            if len(out) >= 10_000:
+                yield summary(out)
+                out = []
+        yield summary(out)
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
     return rows.mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

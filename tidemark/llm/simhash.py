@@ -1,10 +1,11 @@
 """SimHash near-duplicates by a binary trie self-join.
 
-Distinct fingerprints are laid into four tries, one for each rotation of the 64 bits by 16. Two
-fingerprints that differ in at most three bits agree on one of four 16-bit blocks, so in one of the
-tries they share the node at depth 16; node pairs that differ above it are pruned, the other tries
-have them. A crowded node is split along the trie into subtries of bounded size, and only pairs of
-subtries whose prefixes are within the error budget are joined. Each task then traverses the node pairs
+Distinct fingerprints are cut into five blocks. Two that differ in at most three bits agree in two of the
+blocks at least, so they are laid into ten tries, one for each pair of blocks: its bits come first, then the
+rest. In one of the tries they share the node at depth TOP; node pairs that differ above it are pruned, the
+other tries have them. At this depth 30 million nodes share the fingerprints, so nearly none is crowded; one
+that is is split along the trie into subtries of bounded size, and only pairs of subtries whose prefixes are
+within the error budget are joined. Each task then traverses the node pairs
 of its subtries together, bit by bit, adds up differing bits, and drops pairs beyond the budget.
 A task emits a spanning forest of the links it finds, not the links; star contraction over the
 forests gives the components.
@@ -17,6 +18,9 @@ an empty table gives no rows; extra columns are ignored by `components` and kept
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,6 +29,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bound_batches, stage, table
 
 BITS, BUDGET, SHINGLE, SEED = 64, 3, 3, 42
+#: Blocks of bits, as (bits below, width), and the pairs of blocks that lead a trie; the depth at which all tries begin.
+BLOCKS = ((51, 13), (38, 13), (25, 13), (12, 13), (0, 12))
+TRIES, TOP = tuple(itertools.combinations(range(len(BLOCKS)), 2)), 25
 #: Most fingerprints of one subtrie: bounds a task's unit of work, loses nothing.
 CROWD = 2048
 #: Node pairs with no more leaf pairs than this are compared leaf by leaf.
@@ -69,19 +76,40 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 # the trie self-join
 
 
-def rotated(fp, r: int):
-    """fp with its bits turned left by 16 * r."""
-    return fp if r == 0 else F.shiftleft(fp, 16 * r).bitwiseOR(F.shiftrightunsigned(fp, BITS - 16 * r))
+def moves(trie: int) -> list[tuple[int, int, int]]:
+    """How a trie orders the bits: (bits below in the fingerprint, bits below in the key, width) of each block."""
+    out, upto = [], BITS
+    for k in (*TRIES[trie], *(k for k in range(len(BLOCKS)) if k not in TRIES[trie])):
+        below, width = BLOCKS[k]
+        upto -= width
+        out.append((below, upto, width))
+    return out
+
+
+def laid_out(fp: Column, trie: int) -> Column:
+    """The fingerprint with its bits in the order of a trie."""
+    parts = [F.shiftleft(F.shiftrightunsigned(fp, below).bitwiseAND((1 << width) - 1), to) for below, to, width in moves(trie)]
+    return functools.reduce(Column.bitwiseOR, parts)
+
+
+def put_back(keys: np.ndarray, tries: np.ndarray) -> np.ndarray:
+    """Signed fingerprints of keys of tries."""
+    out = np.zeros(len(keys), np.uint64)
+    for trie in np.unique(tries):
+        of = tries == trie
+        for below, to, width in moves(int(trie)):
+            out[of] |= (keys[of] >> np.uint64(to) & np.uint64((1 << width) - 1)) << np.uint64(below)
+    return out.view(np.int64)
 
 
 def subtries(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Rows (trie, depth, node, key): every fingerprint of every trie with the subtrie it lies in.
 
-    Starts at depth 16; while a node holds more than `crowd` fingerprints, it is split eight bits
+    Starts at depth TOP; while a node holds more than `crowd` fingerprints, it is split eight bits
     deeper. Counting is a partial aggregation, so a crowded node never meets in one task."""
-    laid = fps.select(F.posexplode(F.array(*[rotated(F.col("fp"), r) for r in range(4)])).alias("trie", "key"))
+    laid = fps.select(F.posexplode(F.array(*[laid_out(F.col("fp"), t) for t in range(len(TRIES))])).alias("trie", "key"))
     rest, done = stage(laid, "tries"), []
-    for depth in range(16, BITS + 1, 8):
+    for depth in (*range(TOP, BITS, 8), BITS):
         at = rest.withColumn("node", F.shiftrightunsigned("key", BITS - depth) if depth < BITS else F.col("key")).withColumn("depth", F.lit(depth))
         if depth == BITS:
             done.append(at.select("trie", "depth", "node", "key"))
@@ -101,12 +129,12 @@ def subtries(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 def units(placed: DataFrame) -> DataFrame:
     """Rows (unit, trie, side, key): the work to do. A subtrie joins itself, and each other subtrie
-    under the same depth-16 node whose prefix differs in at most BUDGET bits.
+    under the same node of depth TOP whose prefix differs in at most BUDGET bits.
 
     Only crowded nodes have more than one subtrie; the pairs are made from the list of those, one row
     a subtrie, never from fingerprints."""
-    alone = placed.filter("depth = 16").select(F.xxhash64("trie", "depth", "node").alias("unit"), "trie", F.lit(0).alias("side"), "key")
-    deep = placed.filter("depth > 16").withColumn("top", F.expr("shiftrightunsigned(node, depth - 16)"))
+    alone = placed.filter(F.col("depth") == TOP).select(F.xxhash64("trie", "depth", "node").alias("unit"), "trie", F.lit(0).alias("side"), "key")
+    deep = placed.filter(F.col("depth") > TOP).withColumn("top", F.expr(f"shiftrightunsigned(node, depth - {TOP})"))
     nodes = deep.select("trie", "top", "depth", "node").distinct()
     a, b = nodes.alias("a"), nodes.alias("b")
     apart = F.bit_count(F.expr("shiftrightunsigned(a.node, a.depth - least(a.depth, b.depth)) ^ shiftrightunsigned(b.node, b.depth - least(a.depth, b.depth))"))
@@ -204,9 +232,7 @@ def links(rows: pd.DataFrame) -> pd.DataFrame:
     live = (mid - start > 1) | two
     root = forest(len(keys), traverse(keys, start[live], mid[live], lo_b[live], hi_b[live]))
     linked = np.flatnonzero(root != np.arange(len(root)))
-    by = (16 * trie[linked]).astype(np.uint64)
-    plain = lambda k: ((k >> by) | (k << ((np.uint64(64) - by) % np.uint64(64)))).view(np.int64)  # noqa: E731  turned back
-    return pd.DataFrame({"a": plain(keys[root[linked]]), "b": plain(keys[linked])})
+    return pd.DataFrame({"a": put_back(keys[root[linked]], trie[linked]), "b": put_back(keys[linked], trie[linked])})
 
 
 def linked(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -259,23 +285,19 @@ def text_hash() -> Column:
     return F.md5(F.coalesce(F.col("text"), F.lit("")))
 
 
-def row_key(doc_id: Column, th: Column) -> Column:
-    """One key of id and text hash, so that the join and the dropping of repeated rows share a shuffle."""
-    return F.when(doc_id.isNull(), F.concat(F.lit("n:"), th)).otherwise(F.concat(F.lit("i:"), doc_id.cast("string"), F.lit(":"), th))
-
-
 def keep_first(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """One row of each component, with its own columns: that of the smallest (doc_id, text hash), nulls last.
 
-    Ids need not be there nor differ. Texts are shuffled once; rows that agree in both are one document."""
+    Ids need not be there nor differ. Rows that agree in both are one document, of which one row stays. Every
+    row is numbered where it lies in a staged copy, so that which one stays is settled once, by number; texts
+    meet the numbers in a join that Spark broadcasts while they are few, and shuffles otherwise."""
     bound_batches(docs.sparkSession)
-    prints = stage(docs.select("doc_id", F.pandas_udf(simhash, "long")("text").alias("fp"), text_hash().alias("th")), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("th").alias("t"))
-    firsts = prints.groupBy("fp").agg(F.min(order).alias("first"))
-    of = labelled(prints.select("doc_id", "fp"), crowd).select(F.col("fp").alias("l_fp"), "root")
-    keep = firsts.join(of, firsts["fp"] == of["l_fp"]).groupBy("root").agg(F.min("first").alias("first")).select(row_key(F.col("first.d"), F.col("first.t")).alias("__k"))
-    kept = docs.withColumn("__k", row_key(docs["doc_id"], text_hash())).join(keep, "__k", "left_semi")
-    return kept.dropDuplicates(["__k"]).select(*[docs[f"`{c}`"] for c in docs.columns])
+    row = stage(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), F.monotonically_increasing_id().alias("at"), F.col("doc_id").alias("id"), text_hash().alias("th"), F.pandas_udf(simhash, "long")("text").alias("fp")), "rows")
+    order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("d"), F.col("th").alias("t"), "at")
+    firsts = row.groupBy("fp").agg(F.min(order).alias("first"))
+    of = labelled(row.select(F.col("id").alias("doc_id"), "fp"), crowd).select(F.col("fp").alias("l_fp"), "root")
+    keep = firsts.join(of, firsts["fp"] == of["l_fp"]).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.at").alias("at"))
+    return row.join(keep, "at", "left_semi").select("__row.*")
 
 
 def query(spark, sf_dir):

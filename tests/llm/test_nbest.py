@@ -1,6 +1,7 @@
 """N-best segmentation against all segmentations, decoding, odd rows."""
 
 import os
+import random
 from array import array
 
 import pytest
@@ -75,3 +76,28 @@ def test_odd_rows(spark):
 def test_table(spark):
     got = B.query(spark, "/root/testdata/sf0.001").collect()
     assert len(got) == 200 and all(r.round_trip and len(r.nbest) == B.N and r.nbest[0].score == r.score for r in got)
+
+
+def test_small_memory_gives_the_same(monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", None]
+    want = list(B.Pieces(PATH).encode_batch(texts))
+    monkeypatch.setattr(B, "REMEMBER", 30)
+    p, got = B.Pieces(PATH), []
+    for i in range(0, len(texts), 5):
+        got += p.encode_batch(texts[i : i + 5])
+    assert got == want
+
+
+def test_long_pieces(monkeypatch):
+    """A vocabulary with pieces of 40 characters: places and lengths don't run into each other."""
+    p = B.Pieces(PATH)
+    score = max(s for _, s in p.of.values())
+    p.of = dict(p.of) | {B.MARK + "ab" * 20: (31_999, score), "ab" * 17: (31_998, score)}
+    p.starts = {x[:k]: None for x in p.of for k in range(1, len(x) + 1)} | p.of
+    p.index_prefixes()
+    monkeypatch.setattr(B, "LONG", 200)
+    for text in ("ab" * 20, "ab" * 17 + "c", "ab" * 60):
+        got = next(p.encode_batch([text], 2))
+        s, best = p.marked(" " + text), p.forward(p.marked(" " + text))[0]
+        assert got[0][0] == pytest.approx(best[-1]) and len(s) > 32

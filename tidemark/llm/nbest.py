@@ -29,11 +29,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import bound_batches, table
+from tidemark.llm.common import bound_batches, in_slices, table
 
 MODEL, N, MARK = "piece_bpe_32k.model", 4, "▁"
-#: Chunks that a worker remembers.
-REMEMBER = 500_000
+#: Chunks that a worker remembers before it forgets the rarer ones, and characters of texts segmented together.
+REMEMBER, SLICE = 250_000, 4 << 20
 NEVER = float("-inf")
 #: Longer chunks are taken one by one. Bits of the table over hashes, and the hash's factors.
 LONG, TOP, MUL, MIX = 40, 20, np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -102,13 +102,24 @@ class Pieces:
     def forget(self) -> None:
         """Known chunks by number; of number k: score, gap to the second best, and ids bank[first[k] : first[k + 1]]."""
         self.known: dict[str, int] = {}
-        self.score, self.gap, self.bank, self.first = array("d"), array("d"), array("I"), array("q", [0])
+        self.score, self.gap, self.bank, self.first, self.met = np.zeros(0), np.zeros(0), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def sweep(self) -> None:
+        """Forget the chunks that were not met since the last time; what is common stays, however many there are."""
+        if len(self.known) <= REMEMBER:
+            return
+        keep = np.flatnonzero(self.met) if 2 * self.met.sum() <= REMEMBER else np.zeros(0, np.int64)
+        names, size = list(self.known), np.diff(self.first)[keep]
+        score, gap = self.score[keep], self.gap[keep]
+        ids = self.bank[np.repeat(self.first[keep] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        self.forget()
+        self.keep([names[k] for k in keep], score, gap, ids, size)
 
     def keep(self, chunks: list[str], score: np.ndarray, gap: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
-        n, at = len(self.score), self.first[-1]
+        n = len(self.score)
         self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
-        self.score.frombytes(score.tobytes()), self.gap.frombytes(gap.tobytes())
-        self.bank.frombytes(ids.astype(np.uint32).tobytes()), self.first.frombytes((np.cumsum(size) + at).astype(np.int64).tobytes())
+        self.score, self.gap, self.bank = np.append(self.score, score), np.append(self.gap, gap), np.append(self.bank, ids.astype(np.uint32))
+        self.first, self.met = np.append(self.first, np.cumsum(size) + self.first[-1]), np.append(self.met, np.zeros(len(chunks), bool))
 
     def learn(self, chunks: list[str]) -> None:
         """Forward Viterbi over all these chunks at once, place by place; odd and long ones one by one."""
@@ -116,9 +127,9 @@ class Pieces:
         odd = [c for c in chunks if len(c) > LONG]
         for i in range(0, len(plain), 50_000):
             odd += self.learn_together(plain[i : i + 50_000])
-        for c in odd:
-            score, gap, ids = self.best(c)
-            self.keep([c], np.array([score]), np.array([gap]), np.frombuffer(ids, np.uint32), np.array([len(ids) // 4]))
+        found = [self.best(c) for c in odd]
+        ids = np.frombuffer(b"".join(x for _, _, x in found), np.uint32)
+        self.keep(odd, np.array([x for x, _, _ in found]), np.array([x for _, x, _ in found]), ids, np.array([len(x) // 4 for _, _, x in found], np.int64))
 
     def edges(self, points: np.ndarray, stop: np.ndarray):
         """All lattice edges (start, length, piece, score) of concatenated chunks; stop is each place's chunk end."""
@@ -147,7 +158,7 @@ class Pieces:
         offset, number = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
         at, length, piece, score = self.edges(points, (offset + size)[number])
         node = at + number[at]  # every chunk has one place more than characters
-        key = (at - offset[number[at]]) * 32 + length
+        key = (at - offset[number[at]]) * (self.longest + 1) + length
         order = np.argsort(key, kind="stable")
         node, length, piece, score, key = node[order], length[order], piece[order], score[order], key[order]
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
@@ -285,16 +296,16 @@ class Pieces:
     def encode_batch(self, texts: list[str | None], n: int = N) -> Iterator[list[tuple[float, bytes]]]:
         """For every text its n best segmentations (score, ids in four bytes each), best first."""
         split = [self.chunk.findall(" " + t) if t else [] for t in texts]
-        if len(self.known) > REMEMBER:
-            self.forget()
+        self.sweep()
         known = self.known
         self.learn([c for c in dict.fromkeys(itertools.chain.from_iterable(split)) if c not in known])
-        score, gap, bank, first = (np.array(x) for x in (self.score, self.gap, self.bank, self.first))
+        score, gap, bank, first, met = self.score, self.gap, self.bank, self.first, self.met
         for chunks in split:
             if not chunks:
                 yield [(0.0, b"")]
                 continue
             code = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+            met[code] = True
             size = first[code + 1] - first[code]
             upto = np.cumsum(size)
             ids = bank[np.arange(upto[-1]) + np.repeat(first[code] - (upto - size), size)].tobytes()
@@ -360,7 +371,7 @@ def segment(docs: DataFrame, *, n: int = N, model: str | None = None, with_ids:
 
     def run(batches):
         p = pieces(path)
-        for batch in batches:
+        for batch in in_slices(batches, most=SLICE):
             rows = []
             texts = batch["text"].tolist()
             for doc, text, ways in zip(batch["doc_id"], texts, p.encode_batch(texts, n), strict=True):

@@ -183,9 +183,9 @@ def slow_targets(sizes):
 def test_mix(spark, sizes):
     rows = [(100 * k + i, "w " * (1 + i % 90), s, 7) for k, (s, n) in enumerate(sizes.items()) for i in range(n)] + [(None, None, next(iter(sizes)), 7), (1, "", next(iter(sizes)), 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
-    for shard_words in (10**9, 600):
-        got = mixing.mix(df, block_words=4, shard_words=shard_words).collect()
-        assert len(got) == len(rows) and got == mixing.mix(df, block_words=4, shard_words=shard_words).collect() or sorted(map(str, got)) == sorted(map(str, mixing.mix(df, block_words=4, shard_words=shard_words).collect()))
+    for bounds in ({}, {"shard_words": 600}, {"shard_docs": 20}):
+        got = mixing.mix(df, block_words=4, **bounds).collect()
+        assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, mixing.mix(df, block_words=4, **bounds).collect()))
         words = {s: sum(len((r[1] or "").split()) for r in rows if r[2] == s) for s in sizes}
         target, taken = slow_targets(words), {}
         source = {(r[0], len((r[1] or "").split())): r[2] for r in rows}
@@ -207,3 +207,29 @@ def test_seats_are_sainte_lague(spark):
         best = max(votes, key=lambda x: x[1] / (2 * seats[x[0]] + 1))
         seats[best[0]] += 1
     assert got == seats
+
+
+@pytest.mark.parametrize("accuracy", [100, 20_000])
+def test_bracketed_seats_are_sainte_lague(spark, accuracy):
+    import heapq
+    import random
+
+    rng = random.Random(4)
+    units = [(f"s{i % 7}", i, 1000 * rng.randint(1, 40)) for i in range(400)]
+    votes = [(s, k, w, w * (1.7 if s < "s3" else 0.6)) for s, k, w in units]
+    df = spark.createDataFrame(votes, "source string, shard long, words long, votes double")
+    got = {(r.source, r.shard): r.quota for r in mixing.apportion(df, 32, accuracy=accuracy).collect()}
+    quota, queue = dict.fromkeys(got, 0), [(-v, s, k, v) for s, k, _, v in votes]
+    heapq.heapify(queue)
+    for _ in range(int(sum(v for *_, v in votes) / 32 + 0.5)):
+        _, s, k, v = heapq.heappop(queue)
+        quota[s, k] += 1
+        heapq.heappush(queue, (-v / (2 * quota[s, k] + 1), s, k, v))
+    assert got == quota
+
+
+def test_long_text_in_a_mix(spark):
+    rows = [(i, "w " * 30, "a") for i in range(50)] + [(99, "v " * 300_000, "b"), (99, "v " * 300_000, "b")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert [r.size for r in got if r.doc_id == 99] == [300_000] * 2 and all(r.taken <= 3 * r.size for r in got)
+    assert sum(r.taken for r in got if r.doc_id != 99) == 3 * 1500

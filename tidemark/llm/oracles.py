@@ -5,8 +5,8 @@ WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS place
   FROM documents),
-n AS (SELECT greatest(1, least(8192, (sum(size) + 999999) // 1000000))::BIGINT AS shards FROM sized),
-dealt AS (SELECT *, ('0x' || substr(place, 1, 8))::BIGINT % (SELECT shards FROM n) AS shard FROM sized),
+n AS (SELECT source AS s, greatest(1, (sum(size) + 999999) // 1000000, (count(*) + 1999) // 2000)::BIGINT AS shards FROM sized GROUP BY source),
+dealt AS (SELECT sized.*, ('0x' || substr(place, 1, 8))::BIGINT % shards AS shard FROM sized JOIN n ON source IS NOT DISTINCT FROM s),
 by_unit AS (SELECT source, shard, sum(size)::BIGINT AS words FROM dealt GROUP BY ALL),
 by_source AS (SELECT source, sum(words)::BIGINT AS source_size FROM by_unit GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS idx FROM by_source),

@@ -5,8 +5,10 @@ those of the landmark texts; k(x, y) = |x & y| / sqrt(|x| |y|). Landmarks span a
 ridge regression per language is solved in it, and a text's scores are a product of its gram
 incidence with the landmark matrix, computed for a batch of texts at once.
 
-Training sees a bounded sample: at most `per_lang` texts of a language, of at most `fit_chars`
-characters, drawn by a hash of the id. Prediction reads every whole text.
+Training sees a bounded sample: at most `per_lang` labelled texts of a language, drawn by a hash of id and
+text in one pass; of a longer text a slice of `fit_chars` characters from a place drawn alike, so a language
+of long texts only is learned too. There are LANDMARKS landmarks at most in all, and matrices of texts by
+grams are made for as many texts as keep them under CELLS cells. Prediction reads every whole text.
 
 Defined cases: null text, or text without a letter: `und`, score 0; null languages are not learned;
 without labelled rows everything is `und`; repeated rows are predicted alike; an empty table gives no
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bound_batches, table
 
-PER_LANG, FIT_CHARS, LANDMARKS, RIDGE, ORDERS = 250, 6_000, 48, 1e-2, 3
+PER_LANG, FIT_CHARS, RIDGE, ORDERS = 250, 6_000, 1e-2, 3
+#: Landmarks of a language and of all together; cells of a matrix of texts by grams.
+PER_LANG_LANDMARKS, LANDMARKS, CELLS = 48, 512, 8_000_000
 #: Grams are hashed to BITS bits; a text is taken in slices of SLICE characters.
 BITS, SLICE = 21, 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -47,12 +51,13 @@ def grams(text: str):
             yield (packed * _MIX) >> np.uint64(64 - BITS)
 
 
-class Model:
-    """What prediction needs: the landmark grams, the landmark incidence, and the weights per language."""
+class Grams:
+    """The grams of the landmarks, and which of them a text has."""
 
-    def __init__(self, langs: list[str], vocab: np.ndarray, incidence: np.ndarray, weights: np.ndarray, bias: np.ndarray):
-        self.langs, self.vocab, self.incidence, self.weights, self.bias = langs, vocab, incidence, weights, bias
-        self.norms = np.sqrt(np.maximum(incidence.sum(axis=0), 1))
+    def __init__(self, vocab: np.ndarray):
+        self.vocab = vocab
+        #: Texts that are taken at once.
+        self.rows = max(1, CELLS // max(1, len(vocab)))
 
     def incident(self, texts: list[str]) -> np.ndarray:
         """Texts by vocabulary: 1 where the text has the gram."""
@@ -66,45 +71,59 @@ class Model:
                 mark[g] = False
         return x
 
-    def kernel(self, x: np.ndarray) -> np.ndarray:
-        """Texts by landmarks: shared grams over the root of the product of the sizes.
+    def blocks(self, texts: list[str]):
+        """(first, incidence) of as many texts at a time as CELLS allows."""
+        for i in range(0, len(texts), self.rows):
+            yield i, self.incident(texts[i : i + self.rows])
+
+
+def sizes(x: np.ndarray) -> np.ndarray:
+    """Roots of the numbers of grams; those that no landmark has tell nothing and don't count."""
+    return np.sqrt(np.maximum(x.sum(axis=1), 1))
+
+
+def kernel(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """Texts by landmarks, both given by incidence: shared grams over the root of the product of the sizes."""
+    return (x @ landmarks.T) / (sizes(x)[:, None] * sizes(landmarks))
+
+
+class Model:
+    """What prediction needs. A text's scores are its kernel with the landmarks times the ridge weights; as the
+    landmarks' part of that product is the same for all texts, it is kept as one matrix, grams by languages."""
 
-        A text's size counts the grams that some landmark has; the others tell nothing."""
-        sizes = np.sqrt(np.maximum(x.sum(axis=1), 1))
-        return (x @ self.incidence) / (sizes[:, None] * self.norms)
+    def __init__(self, langs: list[str], grams_: Grams, weights: np.ndarray, bias: np.ndarray):
+        self.langs, self.grams, self.weights, self.bias = langs, grams_, weights, bias
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return self.kernel(self.incident(texts)) @ self.weights + self.bias
+        parts = [(x @ self.weights) / sizes(x)[:, None] + self.bias for _, x in self.grams.blocks(texts)]
+        return np.concatenate(parts)
 
     def predict(self, texts: pd.Series) -> pd.DataFrame:
         langs, sure = np.full(len(texts), "und", object), np.zeros(len(texts))
         known = [i for i, t in enumerate(texts) if t and self.langs and any(map(str.isalpha, t))]
-        for i in range(0, len(known), 256):
-            part = known[i : i + 256]
-            s = self.scores([texts.iat[k] for k in part])
-            best = s.argmax(axis=1)
-            langs[part] = np.array(self.langs, object)[best]
-            e = np.exp(4 * (s - s.max(axis=1, keepdims=True)))
-            sure[part] = 1 / e.sum(axis=1)
+        if known:
+            s = self.scores([texts.iat[k] for k in known])
+            langs[known] = np.array(self.langs, object)[s.argmax(axis=1)]
+            sure[known] = 1 / np.exp(4 * (s - s.max(axis=1, keepdims=True))).sum(axis=1)
         return pd.DataFrame({"lang_pred": langs, "score": sure})
 
 
-def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Train on (lang, text) rows, landmarks of each language first in order."""
+def fit(rows: list[tuple[str, str]], landmarks: int = PER_LANG_LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Train on (lang, text) rows; a language's first rows are its landmarks."""
     langs = sorted({lang for lang, _ in rows})
     if not langs:
-        return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
-    seen = dict.fromkeys(langs, 0)
+        return Model([], Grams(np.zeros(0, np.int64)), np.zeros((0, 0)), np.zeros(0))
+    left = dict.fromkeys(langs, min(landmarks, max(1, LANDMARKS // len(langs))))
     chosen = []
     for i, (lang, _) in enumerate(rows):
-        if seen[lang] < landmarks:
-            seen[lang] += 1
+        if left[lang]:
+            left[lang] -= 1
             chosen.append(i)
-    vocab = np.unique(np.concatenate([g for i in chosen for g in grams(rows[i][1])] or [np.zeros(0, np.uint64)])).astype(np.int64)
-    model = Model(langs, vocab, np.zeros((len(vocab), len(chosen)), np.float32), np.zeros((len(chosen), len(langs))), np.zeros(len(langs)))
-    x = model.incident([text for _, text in rows])
-    model = Model(langs, vocab, x[chosen].T.copy(), model.weights, model.bias)
-    k_nm = model.kernel(x).astype(np.float64)
+    texts = [text for _, text in rows]
+    vocab = np.unique(np.concatenate([g for i in chosen for g in grams(texts[i])] or [np.zeros(0, np.uint64)])).astype(np.int64)
+    g = Grams(vocab)
+    marks = np.concatenate([x for _, x in g.blocks([texts[i] for i in chosen])])
+    k_nm = np.concatenate([kernel(x, marks) for _, x in g.blocks(texts)]).astype(np.float64)
     k_mm = k_nm[chosen]
     value, vector = np.linalg.eigh((k_mm + k_mm.T) / 2)
     good = value > 1e-6 * value.max()
@@ -113,21 +132,31 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     y = np.where(np.array([[lang == x for x in langs] for lang, _ in rows]), 1.0, -1.0)
     bias = y.mean(axis=0)
     w = np.linalg.solve(z.T @ z + ridge * len(rows) * np.eye(z.shape[1]) / z.shape[1], z.T @ (y - bias))
-    model.weights, model.bias = (project @ w).astype(np.float32), bias.astype(np.float32)
-    return model
+    weights = (marks / sizes(marks)[:, None]).T @ (project @ w).astype(np.float32)
+    return Model(langs, g, weights.astype(np.float32), bias.astype(np.float32))
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG, fit_chars: int = FIT_CHARS) -> list[tuple[str, str]]:
-    """At most per_lang rows a language to the driver, by a hash of the id. Languages are counted
-    first, so that only about as many rows as are wanted are ranked; a hot language meets in no task."""
-    fair = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= fit_chars))
-    sizes = {r.lang: r["count"] for r in fair.groupBy("lang").count().collect()}
-    draw = (F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")).bitwiseAND(0x7FFFFFFF) / float(1 << 31)).alias("draw")
-    picked = []
-    for lang in sorted(sizes):
-        share = min(1.0, 2.0 * per_lang / sizes[lang] + 20 / sizes[lang])
-        one = fair.filter(F.col("lang") == lang).select("text", draw, F.col("doc_id").cast("string").alias("id"))
-        picked += [(lang, r.text) for r in one.filter(F.col("draw") < share).orderBy("draw", "id", "text").limit(per_lang).collect()]
+    """At most per_lang rows a language to the driver, those of the smallest draws, in a fixed order.
+
+    Distinct draws of a language are counted by a sketch, which settles the share of draws that is enough; one
+    pass over the texts then takes that share, equal rows once. A hot language meets in no task."""
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
+    fair = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", key.alias("key"))
+    draw = F.shiftrightunsigned("key", 33) / float(1 << 31)
+    counts = {r.lang: r.n for r in fair.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
+    if not counts:
+        return []
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, (2.0 * per_lang + 20) / max(1, n))) for k, n in counts.items()], "l string, share double")
+    met = fair.join(F.broadcast(shares), F.col("lang") == F.col("l")).filter(draw < F.col("share"))
+    start = 1 + F.pmod(F.col("key"), F.greatest(F.length("text") - fit_chars + 1, F.lit(1)))
+    taken = met.groupBy("lang", "key").agg(F.min(F.substring(F.col("text"), start.cast("int"), F.lit(fit_chars))).alias("part"))
+    rows = taken.select("lang", "part", draw.alias("draw"), "key").collect()
+    picked, left = [], dict.fromkeys(counts, per_lang)
+    for r in sorted(rows, key=lambda r: (r.lang, r.draw, r.key)):
+        if left[r.lang]:
+            left[r.lang] -= 1
+            picked.append((r.lang, r.part))
     return picked
 
 

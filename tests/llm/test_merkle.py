@@ -60,6 +60,31 @@ def test_repeated_rows(spark):
     assert len(got) == 4 and len({r.fingerprint for r in got}) == 2
 
 
+@pytest.mark.parametrize("ids", ["hashed", "clusters", "one", "nulls", "extremes"])
+def test_orders_of_ids(spark, ids):
+    """Sparse, clustered, hot and null ids: the order holds, and no window holds many rows of the table."""
+    n = 2000
+    of = {
+        "hashed": lambda i: int(sha(str(i))[:15], 16) - 2**58,
+        "clusters": lambda i: i if i % 2 else 10**15 + 7 * i,
+        "one": lambda i: 5 if i % 3 == 0 else 1000 + i,
+        "nulls": lambda i: None if i % 3 == 0 else i,
+        "extremes": lambda i: (-(2**63), 2**63 - 1, i)[i % 3] if i > 1990 else i,
+    }[ids]
+    rows = [(of(i), f"text number {i} is here") for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = M.followed(df).collect()
+    by = lambda d, t: (d is not None, d if d is not None else 0)
+    hashes = {r.text: r.h for r in df.select("text", M.F.xxhash64("text").alias("h")).collect()}
+    order = [t for d, t in sorted(rows, key=lambda r: (*by(*r), hashes[r[1]]))]
+    follows = {r.text: r.next_text for r in got}
+    assert len(got) == n and all(follows[a] == b for a, b in zip(order, order[1:] + order[:1], strict=True))
+    with_th = df.withColumn("th", M.F.xxhash64("text"))
+    at, b = M.bucket(df)
+    sizes = [r["count"] for r in with_th.withColumn("__at", at).groupBy(b.alias("b")).count().collect()]
+    assert max(sizes) <= 200 and len(sizes) < n / 2
+
+
 def test_edit_is_located(spark):
     df = spark.createDataFrame([(1, "a\nb\nc"), (2, "a\nB\nc")], "doc_id long, text string")
     trees = {r.doc_id: r.tree for r in M.fingerprints(df).collect()}

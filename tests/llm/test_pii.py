@@ -9,7 +9,7 @@ import pytest
 
 from tidemark.llm import pii as P
 
-DIR = "/root/testdata/sf0.01"
+DIR, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def luhn(d):
@@ -55,6 +55,42 @@ def test_contexts_discover(spark):
     assert P.find(df.limit(0)).count() == 0
 
 
+def test_contexts_on_both_sides_and_ends(spark):
+    rows = [(i, f'we saw {i}.9.8.{i} as address of it') for i in range(12)] + [(20, "they saw (x9-8-7-6)!! as address"), (21, 'apikey: "Zq7"###, no'), (22, "they met 7 people")]
+    rows += [(30 + i, f'the apikey: "{i:02d}' + "ab1f" * 5 + '"; so') for i in range(9)]
+    got = {r.doc_id: [(P.KINDS[s.kind], s.start, s.end) for s in r.spans] for r in P.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[20] == [("ip", 10, 18)] and got[21] == [("secret", 9, 12)] and got[22] == []
+
+
+def test_very_many_identifiers_in_a_text(spark):
+    """Linear enough: a text of 40,000 numbers, tokens and spans, ends, with the right spans."""
+    import time
+
+    text = " ".join(f"10.0.{i % 250}.{i // 250 % 250}" if i % 2 else f"a{i}@b.cd" for i in range(40_000))
+    began = time.time()
+    [r] = P.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(P.KINDS[s.kind], s.start, s.end) for s in r.spans] == slow(text)
+    assert time.time() - began < 120
+    [m] = P.mask(spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")).collect()
+    assert m.text == " ".join("<IP>" if i % 2 else "<EMAIL>" for i in range(40_000)) and m.n_chars == len(m.text)
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGE), reason="needs the given tables")
+def test_patterns_find_what_is_withheld(spark):
+    """With half of the key-shaped strings of the table unknown to the seeds, contexts find them again."""
+    docs = spark.read.parquet(f"{LARGE}/documents.parquet").select("doc_id", "text")
+    half = P.F.crc32(P.F.col("instance").cast("binary")) % 2 == 0
+    import zlib
+
+    found, planted, got = 0, 0, {r.doc_id: {(s.start, s.end) for s in r.spans} for r in P.find(docs, known=half).collect()}
+    for r in docs.collect():
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or ""):
+            if zlib.crc32(m[1].encode()) % 2:
+                planted += 1
+                found += (m.start(1), m.end(1)) in got[r.doc_id]
+    assert planted >= 30 and found >= 0.9 * planted
+
+
 def test_mask(spark):
     rows = [(1, "mail é a@b.cd or 4111 1111 1111 1111.", 9), (1, "mail é a@b.cd or 4111 1111 1111 1111.", 9), (2, "nothing", 7), (3, None, 0), (None, "call +1 (725) 555-9047", 1)]
     got = P.mask(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"))

@@ -4,8 +4,8 @@ Rules find e-mail addresses, IP addresses, card and phone numbers. Their matches
 shape of access keys (kind `secret`), are the seed entities. The words on both sides of a seed, or a key
 and its `=` or `:`, induce lexical patterns; words that hold digits or an @ count by their shape. Patterns and
 the identifier-like tokens they stand beside form a bipartite graph over the whole corpus, which is scored in
-rounds: a pattern's confidence for a kind is the mean score of its distinct instances, an unseen instance takes
-the best confidence of its patterns. A pattern is accepted if it has enough support and confidence, and if
+rounds: a pattern's confidence for a kind is the score of its distinct instances of the kind, over that of all
+of them, where those of no kind yet count little; an unseen instance takes the best confidence of its patterns. A pattern is accepted if it has enough support and confidence, and if
 it leaves at most half the doubt that the kind's share of all instances leaves, so that common words, which
 stand beside everything, are no patterns. Accepted patterns discover identifiers that no rule knows. Rule
 spans always stay; a discovery that overlaps one is dropped. A discovery is the run of identifier
@@ -44,6 +44,8 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 OPEN = r"^(?:[A-Za-z_][A-Za-z0-9_.-]{0,40}[=:])?[^A-Za-z0-9+]{0,8}"
 CORE = r"^\+?[A-Za-z0-9](?:[A-Za-z0-9@._%+:/-]*[A-Za-z0-9])?"
 SUPPORT, CONFIDENCE, LIFT, ROUNDS, CONTEXT = 5, 0.8, 2.0, 3, 80
+#: What an instance of no known kind counts against a pattern, as it may be one of the pattern's.
+UNSURE = 0.1
 #: Matches of a text that prefix sums take together.
 CHUNK = 128
 
@@ -174,9 +176,10 @@ def learn(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDEN
     rates = F.broadcast(seeds.groupBy(F.col("kind").alias("r_kind")).agg((F.count(F.lit(1)) / max(1, every)).alias("rate")))  # one row a kind
     scored, accepted = seeds, None
     for turn in range(rounds):
-        votes = edges.select("pattern", "instance").join(scored, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("weight"))
-        # one more instance, of no kind, keeps a pattern of few instances from being sure
-        judged = votes.join(sizes, "pattern").join(rates, F.col("kind") == F.col("r_kind")).withColumn("confidence", F.col("weight") / (F.col("n") + 1))
+        votes = edges.select("pattern", "instance").join(scored, "instance").groupBy("pattern").agg(F.count(F.lit(1)).alias("met"), F.array(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)) for k in range(len(KINDS))]).alias("weights"))
+        doubt = UNSURE * (F.col("n") - F.col("met")) + 1  # and one more, so that a pattern of few instances is not sure
+        votes = votes.join(sizes, "pattern").withColumn("all", F.aggregate("weights", F.lit(0.0), lambda x, y: x + y) + doubt)
+        judged = votes.select("pattern", "all", F.posexplode("weights").alias("kind", "weight")).join(rates, F.col("kind") == F.col("r_kind")).withColumn("confidence", F.col("weight") / F.col("all"))
         fit = (F.col("weight") >= support) & (F.col("confidence") >= confidence) & (lift * (1 - F.col("confidence")) <= 1 - F.col("rate"))
         accepted = stage(judged.filter(fit).select("pattern", "kind", "confidence"), f"patterns{turn}")
         if turn + 1 < rounds:

@@ -87,11 +87,26 @@ def test_hash_and_rules(spark):
     assert spark.range(1).select(P.live(F.lit(5), 5)).first()[0] is False
 
 
-def test_greedy_groups():
-    import pandas as pd
-
-    nodes = pd.DataFrame({"node_id": [1, 2, 3, 4], "domain": [1, 1, 2, 2]})
-    assert placement.grouped(nodes, 0, 3) == [1, 3, 2] and placement.grouped(nodes, 1, 2) == [2, 3] and placement.grouped(nodes.head(0), 5, 2) == []
+def greedy(nodes, turn, size):
+    """The rule as a loop: turned candidates, first those of new domains, then any until the group is full."""
+    nodes = nodes[turn % len(nodes) :] + nodes[: turn % len(nodes)]
+    chosen, domains = [], set()
+    for fresh in (True, False):
+        for node, domain in nodes:
+            if len(chosen) < size and node not in chosen and not (fresh and domain in domains):
+                chosen.append(node), domains.add(domain)
+    return chosen
+
+
+def test_greedy_groups(spark):
+    rng = random.Random(6)
+    nodes = [(k, rng.randint(0, 4), rng.random() < 0.8) for k in range(17)]
+    chunks = spark.createDataFrame([(k,) for k in range(300)], "chunk_id long")
+    got = placement.replica_groups(chunks, spark.createDataFrame(nodes, "node_id long, domain long, live boolean"), 64, 7).collect()
+    assert len(got) == 300 and len({r.partition for r in got}) > 40
+    live = [(n, d) for n, d, up in nodes if up]
+    assert all(r.replicas == greedy(live, r.partition, 7) for r in got)
+    assert placement.replica_groups(chunks, spark.createDataFrame(nodes, "node_id long, domain long, live boolean").limit(0), 64, 3).count() == 0
 
 
 def test_conflicts_against_all_pairs(spark):
@@ -105,3 +120,56 @@ def test_conflicts_against_all_pairs(spark):
         if hit:
             want.append((i, *min(hit)))
     assert rows(got) == sorted(want, key=repr)
+
+
+# depth, cycles, missing parents
+
+
+def test_deep_chain_and_ring(spark):
+    chain = spark.createDataFrame([(f"i{k}", f"i{k + 1}") for k in range(1000)], "inode string, parent string")
+    got = joins.ancestors(chain).filter("inode = 'i0'")
+    assert got.count() == 1001 and got.filter("distance = 1000 AND ancestor = 'i1000'").count() == 1
+    ring = spark.createDataFrame([(k, (k + 1) % 500) for k in range(500)] + [(1000, 0), (499, 2000)], "src long, dst long")
+    reach = joins.reachable(ring)
+    assert reach.filter("src = dst").count() == 500 and reach.filter("src = 1000").count() == 501
+    assert {r.node for r in joins.on_cycles(ring).collect()} == set(range(500))
+    assert joins.on_cycles(spark.createDataFrame([(k, k + 1) for k in range(40)], "src long, dst long")).count() == 0
+
+
+def test_a_cycle_counts_as_below(spark):
+    entries = spark.createDataFrame([("a", "root"), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "x")], "inode string, parent string")
+    pairs = spark.createDataFrame([("a", "c"), ("c", "a"), ("b", "b"), ("a", "z"), ("root", "c"), ("q", "c")], "ancestor string, child string")
+    assert {(r.ancestor, r.child): r.below for r in joins.below_or_same(pairs, entries).collect()} == {("a", "c"): True, ("c", "a"): False, ("b", "b"): True, ("a", "z"): True, ("root", "c"): True, ("q", "c"): False}
+
+
+def test_missing_parents_fail(spark):
+    entries = spark.createDataFrame([("root", "n", "i1"), ("root", "m", "i2")], "parent string, name string, inode string")
+    inodes = spark.createDataFrame([("i1", "file")], "inode string, kind string")
+    assert joins.read_dir(entries.filter("inode = 'i1'"), inodes).first().kind == "file"
+    with pytest.raises(Exception, match="inode not found: i2"):
+        joins.read_dir(entries, inodes).collect()
+    ranges = spark.createDataFrame([(1, 0, 5), (1, 3, 11)], "chunk long, start long, end long")
+    sized = spark.createDataFrame([(1, 10)], "chunk long, length long")
+    assert intervals.within(ranges.limit(1), ["chunk"], sized).count() == 1
+    with pytest.raises(Exception, match="past the chunk's end"):
+        intervals.within(ranges, ["chunk"], sized).collect()
+
+
+def test_sums_and_hashes(spark):
+    d = spark.createDataFrame([(str(2**64 - 1),), ("5",)], "x string").select(F.col("x").cast("decimal(38,0)").alias("x"))
+    one = F.lit(1).cast("decimal(38,0)")
+    assert [int(r[0]) for r in d.select(P.saturating_add(F.col("x"), one)).collect()] == [2**64 - 1, 6]
+    with pytest.raises(Exception, match="overflows"):
+        d.select(P.checked_add(F.col("x"), one)).collect()
+    h = 0xCBF29CE484222325
+    for b in b"ab\xff" + (7).to_bytes(8, "little"):
+        h = (h ^ b) * 0x100000001B3 % 2**64
+    assert int(spark.range(1).select(P.field_hash(P.hash_string(F.lit("ab")), P.hash_long(F.lit(7)))).first()[0]) == h
+
+
+def test_groups_with_heads(spark):
+    rows = [(k, k // 2, [(3, 1), (1, k)]) for k in range(6)]
+    s = spark.createDataFrame(rows, "node_id long, domain long, devices array<struct<device_id:long,device_epoch:long>>")
+    got = {r.node_id: (r.device_id, r.replicas, r.domains) for r in placement.headed_groups(s, 3, 2).collect()}
+    assert got[0] == (1, "0,2,4", 3) and got[5] == (1, "5,0,2", 3) and got[1] == (1, "1,2,4", 3)
+    assert placement.headed_groups(s.filter("domain = 0"), 3, 2).count() == 0

@@ -16,6 +16,13 @@ def test_catalog(spark, tmp_path):
     got = {r.chunk_id: (r.length, r.revision) for r in C.read_catalog(spark, str(tmp_path / "c.jsonl")).collect()}
     assert got == {"a": (6, 2), "b": (2, 1)}
     assert [tuple(r) for r in C.catalog_gaps(spark, str(tmp_path / "c.jsonl")).collect()] == [(4, 2)]
+    good = spark.createDataFrame([(7, [("a", 9, "d", "ready")])], "revision long, records array<struct<chunk_id:string,length:bigint,digest:string,state:string>>")
+    C.write_catalog(good, str(tmp_path / "good"))
+    assert C.read_catalog(spark, str(tmp_path / "good")).first().length == 9
+    [line] = [x for part in (tmp_path / "good").glob("*.json") for x in [part.read_text()] if x]
+    (tmp_path / "bad.jsonl").write_text(line.replace('"length":9', '"length":8'))
+    with pytest.raises(Exception, match="checksum of revision 7"):
+        C.read_catalog(spark, str(tmp_path / "bad.jsonl")).collect()
 
 
 def test_snapshot(spark, tmp_path):
@@ -27,9 +34,9 @@ def test_snapshot(spark, tmp_path):
 
 
 def test_metrics(spark, tmp_path):
-    (tmp_path / "m.txt").write_text('# HELP x\nops_total{op="read"} 12\n\nup 1\nload 0.5\n')
+    (tmp_path / "m.txt").write_text('# HELP x\nops_total{op="read"} 12\n\nup 1\nload 0.5\nbig 1e5\ntop +Inf\n')
     got = C.read_metrics(spark, str(tmp_path / "m.txt"))
-    assert sorted(map(tuple, got.collect())) == [("load", "", 0.5), ("ops_total", 'op="read"', 12.0), ("up", "", 1.0)]
+    assert sorted(map(tuple, got.collect())) == [("big", "", 1e5), ("load", "", 0.5), ("ops_total", 'op="read"', 12.0), ("top", "", float("inf")), ("up", "", 1.0)]
     C.write_metrics(got, str(tmp_path / "out"))
     assert sorted(map(tuple, C.read_metrics(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, got.collect()))
 
@@ -66,8 +73,13 @@ def test_streams(spark, tmp_path):
     batch = S.changes(e.withColumn("ts", e.ts.cast("timestamp")))
     kept = {r.key: (r.revision, r.event_index) for r in feed.state(batch.drop("ts")).collect()}
     assert {k: v[:2] for k, v in last.items() if v[2] != "delete"} == kept
-    counted = run(S.windowed(src), "t_win", "append").groupBy().sum("n").first()[0]
-    assert 40 <= counted <= 60
+    counted = {(str(r.start), r.event_type): r.n for r in run(S.windowed(src), "t_win", "append").collect()}
+    want = {}
+    for r in e.collect():  # 60 events, 5 minutes apart, to 04:55; windows that end by 04:45 are closed
+        if r.ts.hour < 4:
+            key = (r.ts.strftime("%Y-%m-%d %H:00:00"), r.event_type)
+            want[key] = want.get(key, 0) + 1
+    assert counted == want
     assert run(S.deduplicated(src), "t_dup", "append").count() == 60
 
 

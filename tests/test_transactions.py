@@ -1,27 +1,12 @@
-"""Folds of command logs: outcomes in order, whatever the partitions."""
+"""Conditional transactions as checks, and the sets they ask about."""
 
 from tidemark.operators import transactions as T
 
 
-def outcomes(df):
-    return [tuple(r)[2:] for r in df.orderBy("partition", "place").collect()]
-
-
-def test_transactions(spark):
-    log = [(1, 1, "c", "r1", "d", "k", 0, "put", "v"), (1, 2, "c", "r1", "d", "k", 0, "put", "v"), (1, 3, "c", "r1", "e", "k", 0, "put", "v"), (1, 4, "c", "r2", "d", "k", 0, "put", "w"), (1, 5, "c", "r3", "d", "k", 1, "put", "w"), (1, 6, "c", "r4", "d", "k", None, "delete", None), (2, 1, "c", "r1", "d", "k", 0, "put", "v")]
-    df = spark.createDataFrame(log, "partition long, place long, caller string, request string, digest string, key string, expect long, op string, value string")
-    assert outcomes(T.transactions(df)) == [("committed", 1), ("replayed", 1), ("request conflict", 1), ("condition failed", 1), ("committed", 2), ("committed", 3), ("committed", 1)]
-    assert T.transactions(df.limit(0)).count() == 0
-
-
-def test_namespace(spark):
-    log = [("mkdir", 1, "a"), ("mkdir", 2, "b"), ("create", 3, "f"), ("rmdir", 1, "a"), ("rename", 1, "a", 3, "x"), ("link", 3, "f", 1, "g"), ("unlink", 3, "f"), ("unlink", 1, "g"), ("rmdir", 2, "b"), ("create", 1, "a"), ("create", 9, "z"), ("unlink", 1, "a"), ("rename", 1, "a", 1, "c"), ("rmdir", 1, "c")]
-    rows = [(7, k, *x, *[None] * (5 - len(x))) for k, x in enumerate(log)]
-    df = spark.createDataFrame(rows, "partition long, place long, op string, parent long, name string, to_parent long, to_name string")
-    assert outcomes(T.namespace_changes(df)) == [("done", 2), ("done", 3), ("done", 4), ("not empty", 2), ("below itself", 2), ("done", 4), ("done", 4), ("done", 4), ("done", 3), ("exists", 2), ("no parent", 0), ("is a directory", 2), ("done", 2), ("done", 2)]
-
-
-def test_leases(spark):
-    log = [("acquire", "x", 0, 0), ("acquire", "y", 0, 5), ("renew", "x", 1, 9), ("write", "x", 1, 18), ("acquire", "y", 0, 19), ("write", "x", 1, 20), ("release", "y", 2, 21), ("write", "y", 2, 22), ("acquire", "x", 0, 23)]
-    df = spark.createDataFrame([(1, k, *x, 10) for k, x in enumerate(log)], "partition long, place long, op string, holder string, epoch long, now long, ttl long")
-    assert outcomes(T.write_leases(df)) == [("granted", 1), ("held", 1), ("done", 1), ("done", 1), ("granted", 2), ("fenced", 2), ("done", 2), ("fenced", 2), ("granted", 3)]
+def test_conditions(spark):
+    requests = spark.createDataFrame([(1, 10, 5, 7), (3, 10, 5, 7), (4, 11, 5, 7), (6, 99, 5, 8), (5, 1, 1, 1), (12, 10, 0, 8), (8, 1, 1, 7)], "request long, key long, revision long, session long")
+    state = spark.createDataFrame([(10, 5), (11, 6)], "key long, revision long")
+    done, live = spark.createDataFrame([(8,)], "request long"), spark.createDataFrame([(7,)], "session long")
+    got = dict(map(tuple, T.judged(requests.select("request"), T.conditions(requests), state, done, live).collect()))
+    assert got == {1: "commit", 3: "missing", 4: "revision", 6: "session", 5: "commit", 12: "missing", 8: "request seen"}
+    assert T.judged(requests.limit(0).select("request"), T.conditions(requests.limit(0)), state, done, live).count() == 0

@@ -44,6 +44,16 @@ def session_epochs(log: DataFrame, node: str, session: str, at: str) -> DataFram
     return log.withColumn("_f", fresh).withColumn("epoch", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_f")
 
 
+def registrations(log: DataFrame, ttl: int) -> DataFrame:
+    """Registrations (node, session, at): accepted or, where the session's own lease has run out before, expired for
+    good. The epoch of an accepted one goes up by one when another session than the node's last registers."""
+    own = Window.partitionBy("node", "session").orderBy("at")
+    late = F.coalesce(F.col("at") - F.lag("at").over(own) >= ttl, F.lit(False))
+    seen = log.withColumn("_late", late).withColumn("_refused", F.max("_late").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    good = session_epochs(seen.filter(~F.col("_refused")), "node", "session", "at").select("node", "session", F.col("at").alias("seen_at"), F.lit("accepted").alias("outcome"), "epoch")
+    return good.unionByName(seen.filter("_refused").select("node", "session", F.col("at").alias("seen_at"), F.lit("expired").alias("outcome"), F.lit(None).cast("long").alias("epoch")))
+
+
 def gaps(log: DataFrame, revision: str = "revision") -> DataFrame:
     """Revisions that don't follow the one before, with that one: a log must be contiguous.
 

@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def coalesced(ranges: DataFrame, keys: list[str], *, inclusive: bool = False, clip: int | None = None) -> DataFrame:
+def coalesced(ranges: DataFrame, keys: list[str], *, inclusive: bool = False, clip: int | None = None, least: str | None = None) -> DataFrame:
     """Merged ranges per key. Half-open ranges merge when start <= end of what came before; inclusive
-    ones also when they adjoin. Empty ranges go; clip cuts ranges off at a length.
+    ones also when they adjoin. Empty ranges go; clip cuts ranges off at a length. least is a column of which
+    a merged range has the smallest value.
 
     Gaps and islands: a running maximum of ends over the earlier rows marks where an island begins."""
-    df = ranges.select(*keys, "start", F.least("end", F.lit(clip)).alias("end") if clip is not None else "end")
+    df = ranges.select(*keys, "start", F.least("end", F.lit(clip)).alias("end") if clip is not None else "end", *([least] if least else []))
     df = df.filter(F.col("start") <= F.col("end") if inclusive else F.col("start") < F.col("end"))
     order = Window.partitionBy(*keys).orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = F.col("start") - 1 > before if inclusive else F.col("start") > before
     df = df.withColumn("fresh", F.when(before.isNull() | apart, 1).otherwise(0))
     df = df.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    return df.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *([F.min(least).alias(least)] if least else [])).drop("island")
 
 
 def covered(asked: DataFrame, merged: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,6 +56,24 @@ def inherited(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(o, (F.col("chunk_id") == F.col("o_chunk")) & (F.col("file_offset") - F.col("chunk_offset") == F.col("o_delta")) & inside, "left_semi")
 
 
+def within(ranges: DataFrame, keys: list[str], lengths: DataFrame) -> DataFrame:
+    """ranges, each inside its key's length (column `length` of lengths); one that ends beyond it fails the query."""
+    both = ranges.join(lengths, keys)
+    end = F.when(F.col("end") <= F.col("length"), F.col("end")).otherwise(F.raise_error(F.lit("range past the chunk's end")))
+    return both.select(*keys, "start", end.alias("end"))
+
+
+def grid(owners: DataFrame, extents: DataFrame, keys: list[str], length: int, block: int) -> DataFrame:
+    """Every block of [0, length) of every owner, with the units that extents hold in it and those that read as zero."""
+    cut = coalesced(extents, keys, clip=length).withColumn("start", F.greatest("start", F.lit(0))).filter("start < end")
+    each = cut.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
+    part = F.least("end", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
+    held = each.groupBy(*keys, "block").agg(F.sum(part).alias("held"))
+    every = owners.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit((length - 1) // block).cast("long"))).alias("block"))
+    held = every.join(held, [*keys, "block"], "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    return held.withColumn("zero", F.lit(block) - F.col("held"))
+
+
 def sparse_read(extents: DataFrame, keys: list[str], length: int) -> DataFrame:
     """Per key the bytes of [0, length) that extents hold, and those that read as zero."""
     held = coalesced(extents, keys, clip=length).groupBy(*keys).agg(F.sum(F.col("end") - F.greatest(F.col("start"), F.lit(0))).alias("held"))

@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from tidemark.staging import staged
 
 
+def with_parent(df: DataFrame, parents: DataFrame, key: str, what: str) -> DataFrame:
+    """df with its parents' columns; a row whose parent is missing is an error of the whole query."""
+    found = df.join(parents.withColumn("_found", F.lit(True)), key, "left")
+    columns = [c for c in found.columns if c not in (key, "_found")]
+    checked = F.when(F.col("_found"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"{what} not found: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+    return found.select(checked.alias(key), *columns)
+
+
 def read_dir(entries: DataFrame, inodes: DataFrame) -> DataFrame:
-    """Entries with their inodes. An entry whose inode is missing is an error: see `dangling`."""
-    return entries.join(inodes, "inode")
+    """Entries with their inodes. An entry whose inode is missing fails the query; `dangling` lists such entries."""
+    return with_parent(entries, inodes, "inode", "inode")
 
 
 def dangling(entries: DataFrame, inodes: DataFrame) -> DataFrame:
@@ -24,36 +32,56 @@ def chunk_sources(chunks: DataFrame, copies: DataFrame, nodes: DataFrame) -> Dat
     return chunks.join(listed, "chunk_id", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<bigint>")))
 
 
-def ancestors(entries: DataFrame, depth: int = 16) -> DataFrame:
-    """(inode, ancestor, distance) of every inode, itself included, by doubling: each round joins the
-    reach so far with itself, so the rounds are the logarithm of the depth. Stops when nothing is new."""
-    reach = staged(entries.select("inode", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
-    size, far = reach.count(), 1
-    while far < depth:
-        a, b = reach.alias("a"), reach.alias("b")
-        more = a.join(b, F.col("a.ancestor") == F.col("b.inode")).select("a.inode", "b.ancestor", (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        reach = staged(reach.unionByName(more).groupBy("inode", "ancestor").agg(F.min("distance").alias("distance")))
-        now, far = reach.count(), 2 * far
+def closed(reach: DataFrame, step) -> DataFrame:
+    """reach joined with itself until nothing is new: the rounds are the logarithm of the longest way, in any depth."""
+    reach = staged(reach)
+    size = reach.count()
+    while True:
+        reach = staged(step(reach))
+        now = reach.count()
         if now == size:
-            break
+            return reach
         size = now
+
+
+def ancestors(entries: DataFrame) -> DataFrame:
+    """(inode, ancestor, distance) of every inode, itself included at 0, by doubling."""
+
+    def step(reach):
+        a, b = reach.alias("a"), reach.alias("b")
+        more = a.join(b, F.col("a.ancestor") == F.col("b.inode")).select("a.inode", "b.ancestor", (F.col("a.distance") + F.col("b.distance")).alias("distance"))
+        return reach.unionByName(more).groupBy("inode", "ancestor").agg(F.min("distance").alias("distance"))
+
+    reach = closed(entries.select("inode", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct(), step)
     own = entries.select("inode", F.col("inode").alias("ancestor"), F.lit(0).alias("distance")).distinct()
     return own.unionByName(reach).groupBy("inode", "ancestor").agg(F.min("distance").alias("distance"))
 
 
-def reachable(edges: DataFrame, depth: int = 64) -> DataFrame:
+def below_or_same(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """pairs (ancestor, child) with `below`: whether child is ancestor or below it. A child whose parents run into a
+    cycle counts as below everything, so that nothing is moved there."""
+    reach = closed(entries.select("inode", F.col("parent").alias("ancestor")).distinct(), lambda r: r.unionByName(r.alias("a").join(r.alias("b"), F.col("a.ancestor") == F.col("b.inode")).select("a.inode", "b.ancestor")).distinct())
+    looped = reach.filter("inode = ancestor").select(F.col("inode").alias("on"))
+    into = reach.join(looped, F.col("ancestor") == F.col("on")).select(F.col("inode").alias("child"), F.lit(True).alias("_loop")).distinct()
+    met = reach.select("ancestor", F.col("inode").alias("child"), F.lit(True).alias("_met"))
+    found = pairs.join(met, ["ancestor", "child"], "left").join(into, "child", "left")
+    return found.select(*pairs.columns, ((F.col("ancestor") == F.col("child")) | F.coalesce("_met", "_loop", F.lit(False))).alias("below"))
+
+
+def reachable(edges: DataFrame) -> DataFrame:
     """(src, dst) of all pairs connected by a way along edges; a cycle reaches itself."""
-    reach = staged(edges.select("src", "dst").distinct())
-    size, far = reach.count(), 1
-    while far < depth:
-        a, b = reach.alias("a"), reach.alias("b")
-        more = a.join(b, F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        reach = staged(reach.unionByName(more).distinct())
-        now, far = reach.count(), 2 * far
-        if now == size:
-            break
-        size = now
-    return reach
+    return closed(edges.select("src", "dst").distinct(), lambda r: r.unionByName(r.alias("a").join(r.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")).distinct())
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes (node) on a cycle or on a way from one to another: those that are left when nodes without a way in or
+    out are taken off until there are none. It never makes pairs, so it tells whether there is a deadlock at all."""
+    left = staged(edges.select("src", "dst").distinct())
+    while True:
+        kept = staged(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        if kept.count() == left.count():
+            return kept.select(F.col("src").alias("node")).distinct()
+        left = kept
 
 
 def conflicts(locks: DataFrame, asked: DataFrame, width: int) -> DataFrame:
@@ -89,10 +117,67 @@ def located(roots: DataFrame, sessions: DataFrame) -> DataFrame:
     return found.withColumn("state", F.when(F.coalesce("live", F.lit(False)), "available").otherwise("unavailable"))
 
 
-def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key, by map-side max."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_l")).select(*keys, "_l.*")
+def serving(copies: DataFrame, sessions: DataFrame, chunks: DataFrame, now: int) -> DataFrame:
+    """Copies that may be read, with lease_epoch, the epoch they are served under: ready, equal to their chunk in
+    length and digest, of a live session no older than they are, on a device of the same epoch that the session
+    has had since, or whose catalog has reached theirs."""
+    same = (F.col("c.chunk_id") == F.col("k.chunk_id")) & (F.col("c.bytes") == F.col("k.length")) & (F.col("c.digest") == F.col("k.digest"))
+    whole = copies.filter("ready AND node_epoch <> 0").alias("c").join(chunks.alias("k"), same, "left_semi")
+    met = whole.join(sessions.filter(F.col("lease_ms") > now), "node_id").filter("lease_epoch >= node_epoch")
+    device = F.exists("devices", lambda d: (d["device_id"] == F.col("device_id")) & (d["device_epoch"] == F.col("device_epoch")) & ((F.col("lease_epoch") == F.col("node_epoch")) | (d["catalog_revision"] >= F.col("catalog_revision"))))
+    return met.filter(device)
+
+
+def layout_sources(layout: DataFrame, served: DataFrame) -> DataFrame:
+    """layout (file, chunk_id) with the nodes that serve each chunk, in order; none is an empty list."""
+    listed = served.groupBy("chunk_id").agg(F.sort_array(F.collect_set("node_id")).alias("sources"))
+    return layout.join(listed, "chunk_id", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<bigint>")))
+
+
+def grants_in_force(shown: DataFrame, held: DataFrame, sessions: DataFrame, pending: DataFrame) -> DataFrame:
+    """Grants as shown that equal those held in root, holder, epoch, home, generation and token, whose holder and
+    home sessions live, and whose root, epoch and generation no pending command revokes."""
+    live = sessions.filter("live")
+    same = shown.join(held, ["root_id", "holder", "root_epoch", "home", "generation", "token"], "left_semi")
+    both = same.join(live.select(F.col("session").alias("holder")), "holder", "left_semi").join(live.select(F.col("session").alias("home")), "home", "left_semi")
+    return both.join(pending, ["root_id", "root_epoch", "generation"], "left_anti")
+
+
+def judged_batches(entries: DataFrame, copies: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """Batches of entries (batch, chunk_id, node_id, expires): denied whole where one entry has no copy or there
+    are more than `most`; else granted until the earliest expiry of the grants and the nodes' leases."""
+    both = entries.join(copies.withColumn("ok", F.lit(1)), ["chunk_id", "node_id"], "left").join(nodes, "node_id")
+    g = both.groupBy("batch").agg(F.count(F.lit(1)).alias("entries"), F.count("ok").alias("good"), F.min(F.least("expires", "lease_ms")).alias("until"))
+    outcome = F.when(F.col("entries") > most, "too many").when(F.col("good") < F.col("entries"), "denied").otherwise("granted")
+    return g.select("batch", "entries", outcome.alias("outcome"), F.when(outcome == "granted", F.col("until")).alias("expires"))
+
+
+def suite_differences(target: DataFrame, reference: DataFrame) -> DataFrame:
+    """Full outer comparison of results (id, status, errno, reason). A skip on either side is compared by its reason
+    first; then error numbers, and the status where none was skipped."""
+    t, r = (df.select("id", *[F.col(c).alias(f"{p}_{c}") for c in ("status", "errno", "reason")]) for df, p in ((target, "t"), (reference, "r")))
+    skipped = (F.col("t_status") == "SKIP") | (F.col("r_status") == "SKIP")
+    apart = lambda c: ~F.col(f"t_{c}").eqNullSafe(F.col(f"r_{c}"))
+    verdict = F.when(F.col("t_status").isNull(), "missing in target").when(F.col("r_status").isNull(), "missing in reference")
+    verdict = verdict.when(skipped & (apart("status") | apart("reason")), "skip").when(apart("errno") | (apart("status") & ~skipped), "errno").when(F.col("t_status") == "FAIL", "failed alike").otherwise("same")
+    return t.join(r, "id", "full_outer").select("id", verdict.alias("verdict"))
+
+
+def range_reads(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """Byte ranges (ask, chunk_id, offset, length) of chunks (chunk_id, data). All ranges of a chunk meet it in one
+    join; where one chunk is asked very often, adaptive execution splits it."""
+    end = F.col("offset") + F.col("length")
+    size = F.octet_length("data")
+    outcome = F.when(F.col("data").isNull(), "missing").when(end > size, "beyond the end").otherwise("read")
+    data = F.substring(F.col("data"), (F.col("offset") + 1).cast("int"), F.col("length").cast("int"))
+    return asked.join(chunks, "chunk_id", "left").select("ask", "chunk_id", outcome.alias("outcome"), F.when(outcome == "read", F.lower(F.hex(data))).alias("bytes_hex"))
+
+
+def verified(records: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Records (chunk_id, digest, length) with whether the chunk's bytes agree; a missing chunk is not intact."""
+    both = records.join(chunks, "chunk_id", "left")
+    intact = (F.sha2("data", 256) == F.col("digest")) & (F.octet_length("data") == F.col("length"))
+    return both.select("chunk_id", F.coalesce(intact, F.lit(False)).alias("intact"))
 
 
 def per_key(df: DataFrame, key: str) -> DataFrame:

@@ -42,3 +42,21 @@ def distinct_in_order(df: DataFrame, key: str, order: str) -> DataFrame:
 def scan_revision(rows: DataFrame, revision: str, store_revision: int) -> DataFrame:
     """The revision a scan answers for: the largest of the store's and the rows'."""
     return rows.agg(F.greatest(F.lit(store_revision), F.coalesce(F.max(revision), F.lit(0))).alias("revision"))
+
+
+def xattr(name: str) -> Column:
+    """The value of one extended attribute of `xattrs`, null if there is none."""
+    return F.get(F.transform(F.filter("xattrs", lambda x: x["name"] == name), lambda x: x["value"]), F.lit(0))
+
+
+def xattr_names() -> Column:
+    return F.array_sort(F.transform("xattrs", lambda x: x["name"]))
+
+
+def repair_work(tasks: DataFrame, short: DataFrame, completed: str) -> DataFrame:
+    """Unfinished tasks (chunk_id, state, attempt), and chunks that are short of copies and have none: a completed
+    task of theirs is taken up again with its attempts, else a new one begins."""
+    both = tasks.join(short.withColumn("_short", F.lit(True)), "chunk_id", "full_outer")
+    unfinished = F.col("state") != completed
+    origin = F.when(unfinished, "unfinished").when(F.col("state").isNotNull(), "reactivated").otherwise("new")
+    return both.filter(F.coalesce(unfinished, F.lit(False)) | F.col("_short")).select("chunk_id", origin.alias("origin"), F.coalesce("attempt", F.lit(0)).cast("long").alias("attempt"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,36 +18,44 @@ def preferred(devices: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return devices.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_m")).select(*keys, "_m.*")
 
 
-def grouped(candidates: pd.DataFrame, rotation: int, size: int) -> list[int]:
-    """Greedy: the rotated candidates, first those of new domains, then any until the group is full."""
-    order = candidates.sort_values("node_id")
-    rows = list(zip(order["node_id"], order["domain"], strict=True))
-    rows = rows[rotation % len(rows) :] + rows[: rotation % len(rows)] if rows else rows
-    chosen, domains = [], set()
-    for node, domain in rows:
-        if len(chosen) < size and domain not in domains:
-            chosen.append(node), domains.add(domain)
-    for node, _ in rows:
-        if len(chosen) < size and node not in chosen:
-            chosen.append(node)
-    return chosen
+def chosen(turned: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, replicas) of candidates (key, node_id, domain, pos): first those of new domains by pos, then any by pos,
+    up to size. `again` is true beforehand where a domain is taken already."""
+    first = F.row_number().over(Window.partitionBy(key, "domain").orderBy("pos")) > 1
+    placed = turned.withColumn("again", first | F.col("again")).withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("again", "pos"))).filter(F.col("k") <= size)
+    return placed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "node_id"))), lambda x: x["node_id"]).alias("replicas"), F.count_distinct("domain").alias("domains"))
+
+
+def numbered(nodes: DataFrame) -> DataFrame:
+    """Nodes with their place r from 0 by id and their number n. They are a cluster's, so one task orders them."""
+    return nodes.withColumn("r", F.row_number().over(Window.orderBy("node_id")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
 
 
 def replica_groups(chunks: DataFrame, nodes: DataFrame, groups: int, size: int) -> DataFrame:
-    """(chunk_id, partition, replicas): chunks by hash partition, each partition's replica group chosen
-    once. The greedy choice depends on order, so it is made in pandas, per partition, over the list of
-    live nodes (bounded by the cluster); chunks only join their partition's group."""
-    parts = nodes.sparkSession.range(groups).withColumnRenamed("id", "partition")
-    live = nodes.filter("live").select("node_id", "domain")
-    listed = parts.withColumn("_k", F.lit(1)).join(live.groupBy().agg(F.collect_list(F.struct("node_id", "domain")).alias("nodes")).withColumn("_k", F.lit(1)), "_k")
-
-    def choose(batches):
-        for batch in batches:
-            out = [grouped(pd.DataFrame([{"node_id": n["node_id"], "domain": n["domain"]} for n in ns], columns=["node_id", "domain"]), int(p), size) for p, ns in zip(batch["partition"], batch["nodes"], strict=True)]
-            yield pd.DataFrame({"partition": batch["partition"], "replicas": out})
-
-    chosen = listed.select("partition", "nodes").mapInPandas(choose, "partition long, replicas array<long>")
-    return chunks.withColumn("partition", partition_of(F.col("chunk_id").cast("string"), groups)).join(chosen, "partition")
+    """(chunk_id, partition, replicas): chunks by hash partition, each partition's replica group chosen once from the
+    live nodes turned by the partition's number: a row for a node and partition, whatever the chunks."""
+    live = numbered(nodes.filter("live").select("node_id", "domain")).withColumn("partition", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    turned = live.withColumn("pos", F.pmod(F.col("r") - F.col("partition"), F.col("n"))).withColumn("again", F.lit(False))
+    return chunks.withColumn("partition", partition_of(F.col("chunk_id").cast("string"), groups)).join(chosen(turned, "partition", size).drop("domains"), "partition")
+
+
+def headed_groups(sessions: DataFrame, size: int, min_domains: int) -> DataFrame:
+    """Of every live node the preferred device and the group that it heads, with the number of its domains: the head
+    first, then the others from the next one on, new domains before known ones. Groups of too few domains go.
+
+    Only the `size` nearest of every domain and the `size` nearest of all can be chosen, but these depend on the
+    head; pairs of nodes of one cluster are made, never of chunks."""
+    targets = sessions.select("node_id", "domain", F.array_min(F.transform("devices", lambda d: F.struct(d["device_id"].alias("device_id"), d["device_epoch"].alias("device_epoch")))).alias("d"))
+    targets = numbered(targets.select("node_id", "domain", F.col("d.device_id").alias("device_id")))
+    heads = targets.select(F.col("node_id").alias("head"), F.col("domain").alias("head_domain"), "device_id", F.col("r").alias("head_r"), "n")
+    steps = heads.withColumn("pos", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("n") - 1, F.lit(1))))).filter("pos < n")
+    turned = steps.withColumn("r", F.pmod(F.col("head_r") + F.col("pos"), F.col("n")).cast("int")).drop("n").join(targets.select("node_id", "domain", "r"), "r")
+    tail = chosen(turned.withColumn("again", F.col("domain") == F.col("head_domain")), "head", size - 1)
+    new = turned.join(tail.select("head", F.explode("replicas").alias("node_id")), ["head", "node_id"]).filter("domain <> head_domain").groupBy("head").agg(F.count_distinct("domain").alias("others"))
+    both = heads.join(tail.drop("domains"), "head").join(new, "head", "left")
+    domains = 1 + F.coalesce("others", F.lit(0))
+    replicas = F.array_join(F.transform(F.concat(F.array("head"), "replicas"), lambda x: x.cast("string")), ",")
+    return both.select(F.col("head").alias("node_id"), "device_id", replicas.alias("replicas"), domains.alias("domains")).filter(F.col("domains") >= min_domains)
 
 
 def sync_prefix(plan: DataFrame, keys: list[str], position: str, min_nodes: int, min_domains: int) -> DataFrame:

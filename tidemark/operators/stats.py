@@ -66,9 +66,10 @@ def exemplars(df: DataFrame, keys: list[str], value: str, time: str, ident: str,
     return df.groupBy(*keys, bucket(F.col(value), bounds).alias("le")).agg(F.max_by(F.struct(F.col(ident).alias("exemplar"), F.col(value).alias("value")), F.struct(time, ident)).alias("e")).select(*keys, "le", "e.*")
 
 
-def paired_ratios(df: DataFrame, round_: str, side: str, value: str, a: str, b: str, least: float) -> DataFrame:
-    """Median, least and largest ratio a / b over rounds that have both, and whether the median reaches `least`."""
-    both = df.groupBy(round_).agg(F.sum(F.when(F.col(side) == a, F.col(value))).alias("x"), F.sum(F.when(F.col(side) == b, F.col(value))).alias("y"))
+def paired_ratios(df: DataFrame, round_: str, side: str, value: str, a: str, b: str, least: float, warm_up: int = 0) -> DataFrame:
+    """Median, least and largest ratio a / b over rounds that have both, and whether the median reaches `least`.
+    Rounds below warm_up are left out."""
+    both = df.filter(F.col(round_) >= warm_up).groupBy(round_).agg(F.sum(F.when(F.col(side) == a, F.col(value))).alias("x"), F.sum(F.when(F.col(side) == b, F.col(value))).alias("y"))
     r = both.filter("x IS NOT NULL AND y > 0").select((F.col("x") / F.col("y")).alias("r"))
     return r.agg(F.count("r").alias("rounds"), F.median("r").alias("median"), F.min("r").alias("least"), F.max("r").alias("largest")).withColumn("pass", F.col("median") >= least)
 
@@ -87,6 +88,10 @@ def delta(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFram
     return b.join(a, key, "full_outer").select(key, (F.coalesce("_a", F.lit(0)) - F.coalesce("_b", F.lit(0))).alias("delta")).filter("delta <> 0")
 
 
-def tree_digest(df: DataFrame, keys: list[str], line: Column) -> DataFrame:
-    """One digest per key of its lines in order; a group is gathered, so keys bound it."""
-    return df.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("digest"))
+def tree_digest(df: DataFrame, keys: list[str], line: Column, fan: int = 2) -> DataFrame:
+    """One digest per key of its lines: lines are dealt into buckets by the first `fan` hex digits of their own
+    digests, a bucket is the digest of its lines in order, a key that of its buckets. So a key of very many lines
+    is gathered in parts; equal sets of lines have equal digests."""
+    lines = df.select(*keys, line.alias("_l")).withColumn("_b", F.substring(F.sha2("_l", 256), 1, fan))
+    buckets = lines.groupBy(*keys, "_b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_l")), "\n"), 256).alias("_d"))
+    return buckets.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_d"))), lambda x: x["_d"]), "\n"), 256).alias("digest"))

@@ -1,162 +1,28 @@
-"""Ordered logs of commands folded into state: conditional transactions, namespace changes, write leases.
-
-A command's outcome depends on all before it in its partition, so no join or aggregation expresses it.
-Commands are dealt by partition, sorted by their place in the log, and a task streams through them with
-the state of one partition at a time: what it holds is that partition's live entities, never its log.
-"""
+"""Conditional transactions as set-based checks: every request's conditions against one state of the store."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def folded(log: DataFrame, partition: str, place: str, start: Callable, step: Callable, columns: list[str], schema: str) -> DataFrame:
-    """Rows of `schema` (partition, place, then what step returns) for every command, in order.
-
-    start() makes a partition's empty state; step(state, row) changes it and returns a tuple."""
-    rows = log.select(partition, place, *columns).repartition(partition).sortWithinPartitions(partition, place)
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
-
-    def run(batches):
-        now, state = object(), None
-        for batch in batches:
-            out = []
-            for key, at, *row in batch.itertuples(index=False, name=None):
-                if key != now:
-                    now, state = key, start()
-                out.append((key, at, *step(state, row)))
-            yield pd.DataFrame(out, columns=names)
-
-    return rows.mapInPandas(run, schema)
-
-
-# conditional transactions
-
-
-def transact(state: dict, row: list) -> tuple[str, int]:
-    """(caller, request, digest, key, expect, op, value) against {entities, outcomes, revision}.
-
-    expect is the revision the key must have, 0 for absent, null for any. A request seen before
-    returns its first outcome, or conflicts if it was another command."""
-    caller, request, digest, key, expect, op, value = row
-    seen = state["outcomes"].get((caller, request))
-    if seen is not None:
-        return ("replayed" if seen[0] == digest else "request conflict"), seen[1]
-    held = state["entities"].get(key)
-    if expect is not None and not pd.isna(expect) and (held[0] if held else 0) != expect:
-        return "condition failed", state["revision"]
-    state["revision"] += 1
-    if op == "put":
-        state["entities"][key] = (state["revision"], value)
-    else:
-        state["entities"].pop(key, None)
-    state["outcomes"][caller, request] = (digest, state["revision"])
-    return "committed", state["revision"]
-
-
-def transactions(log: DataFrame) -> DataFrame:
-    """(partition, place, outcome, revision) of a log (partition, place, caller, request, digest, key, expect, op, value)."""
-    return folded(log, "partition", "place", lambda: {"entities": {}, "outcomes": {}, "revision": 0}, transact, ["caller", "request", "digest", "key", "expect", "op", "value"], "partition long, place long, outcome string, revision long")
-
-
-# namespace changes
-
-
-def change(state: dict, row: list) -> tuple[str, int]:
-    """(op, parent, name, to_parent, to_name) against {inodes: id to [kind, links], entries, next}; root is 1."""
-    op, parent, name, to_parent, to_name = row
-    inodes, entries = state["inodes"], state["entries"]
-    children = lambda inode: any(p == inode for p, _ in entries)
-    found = entries.get((parent, name))
-    if parent not in inodes:
-        return "no parent", 0
-    if inodes[parent][0] != "dir":
-        return "not a directory", 0
-    if op in ("create", "mkdir", "symlink", "mknod"):
-        if found:
-            return "exists", found
-        state["next"] += 1
-        inodes[state["next"]] = ["dir" if op == "mkdir" else "file", 1]
-        entries[parent, name] = state["next"]
-        return "done", state["next"]
-    if not found:
-        return "no entry", 0
-    if op in ("unlink", "rmdir"):
-        is_dir = inodes[found][0] == "dir"
-        if is_dir != (op == "rmdir"):
-            return "is a directory" if is_dir else "not a directory", found
-        if is_dir and children(found):
-            return "not empty", found
-        del entries[parent, name]
-        inodes[found][1] -= 1
-        if not inodes[found][1]:
-            del inodes[found]
-        return "done", found
-    if to_parent not in inodes or inodes[to_parent][0] != "dir":
-        return "no parent", 0
-    there = entries.get((to_parent, to_name))
-    if op == "link":
-        if inodes[found][0] == "dir":
-            return "is a directory", found
-        if there:
-            return "exists", there
-        entries[to_parent, to_name] = found
-        inodes[found][1] += 1
-        return "done", found
-    if op == "rename":
-        up, seen = to_parent, set()
-        while up != 1 and up not in seen:  # a directory can't go below itself; a cycle counts as below
-            if up == found:
-                return "below itself", found
-            seen.add(up)
-            up = next((p for (p, _), i in entries.items() if i == up), 1)
-        if there == found:
-            return "done", found
-        if there:
-            if inodes[there][0] != inodes[found][0]:
-                return "is a directory" if inodes[there][0] == "dir" else "not a directory", there
-            if inodes[there][0] == "dir" and children(there):
-                return "not empty", there
-            inodes[there][1] -= 1
-            if not inodes[there][1]:
-                del inodes[there]
-        del entries[parent, name]
-        entries[to_parent, to_name] = found
-        return "done", found
-    return "unknown operation", 0
-
-
-def namespace_changes(log: DataFrame) -> DataFrame:
-    """(partition, place, outcome, inode) of a log (partition, place, op, parent, name, to_parent, to_name)."""
-    return folded(log, "partition", "place", lambda: {"inodes": {1: ["dir", 1]}, "entries": {}, "next": 1}, change, ["op", "parent", "name", "to_parent", "to_name"], "partition long, place long, outcome string, inode long")
-
-
-# write leases
-
+def conditions(requests: DataFrame) -> DataFrame:
+    """Rows (request, rank, kind, key, revision, session) of requests (request, key, revision, session): every third
+    one needs its key missing, every third its key at a revision, every second a live session. All of a request's
+    rows must hold; of those that don't, the one of the lowest rank is told."""
+    of = lambda cond, rank, kind: F.when(cond, F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind")))
+    n = F.col("request")
+    kinds = F.filter(F.array(of(n % 3 == 0, 2, "missing"), of(n % 3 == 1, 3, "revision"), of(n % 2 == 0, 4, "session")), lambda x: x.isNotNull())
+    return requests.withColumn("c", F.explode(kinds)).select("request", "c.rank", "c.kind", "key", "revision", "session")
 
-def lease(state: dict, row: list) -> tuple[str, int]:
-    """(op, holder, epoch, now, ttl): acquire, renew, write or release, fenced by epoch. A lease that ends now is over."""
-    op, holder, epoch, now, ttl = row
-    live = state["holder"] is not None and state["until"] > now
-    if op == "acquire":
-        if live and state["holder"] != holder:
-            return "held", state["epoch"]
-        if not live or state["holder"] != holder:
-            state["epoch"] += 1
-        state["holder"], state["until"] = holder, now + ttl
-        return "granted", state["epoch"]
-    if not live or state["holder"] != holder or state["epoch"] != epoch:
-        return "fenced", state["epoch"]
-    if op == "renew":
-        state["until"] = now + ttl
-    elif op == "release":
-        state["holder"] = None
-    return "done", state["epoch"]
 
+def judged(requests: DataFrame, conditions_: DataFrame, state: DataFrame, done: DataFrame, live: DataFrame) -> DataFrame:
+    """(request, outcome): commit, the first condition that fails, or `request seen` for a request done before.
 
-def write_leases(log: DataFrame) -> DataFrame:
-    """(partition, place, outcome, epoch) of a log (partition, place, op, holder, epoch, now, ttl), partition an inode."""
-    return folded(log, "partition", "place", lambda: {"holder": None, "until": 0, "epoch": 0}, lease, ["op", "holder", "epoch", "now", "ttl"], "partition long, place long, outcome string, epoch long")
+    Every kind of condition is one equi-join with what it asks about: entities, requests done, live sessions."""
+    now = state.select("key", F.col("revision").alias("now"))
+    met = conditions_.join(now, "key", "left").join(live.withColumn("alive", F.lit(True)), "session", "left")
+    failed = F.when(F.col("kind") == "missing", F.col("now").isNotNull()).when(F.col("kind") == "revision", ~F.col("now").eqNullSafe(F.col("revision"))).otherwise(F.col("alive").isNull())
+    worst = met.filter(failed).groupBy("request").agg(F.min_by("kind", "rank").alias("kind"))
+    both = requests.join(worst, "request", "left").join(done.withColumn("seen", F.lit(True)), "request", "left")
+    return both.select("request", F.when(F.col("seen"), "request seen").otherwise(F.coalesce("kind", F.lit("commit"))).alias("outcome"))

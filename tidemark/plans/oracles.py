@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries, over the same tables."""
 
+from tidemark.plans import files, rules
+
 NODES = "nodes AS (SELECT s_suppkey AS node_id, s_nationkey AS domain, s_acctbal > 7000 AS live, floor(s_acctbal * 100)::BIGINT AS lease_ms FROM supplier)"
 CHUNKS = "chunks AS (SELECT p_partkey AS chunk_id, (p_size * 100)::BIGINT AS length FROM part)"
 COPIES = "copies AS (SELECT l_partkey AS chunk_id, l_suppkey AS node_id, max(l_returnflag) = 'A' AS ready, max(l_linenumber)::BIGINT AS epoch FROM lineitem GROUP BY ALL)"
@@ -31,7 +33,7 @@ def closure(edges: str) -> str:
 
 
 WAITS = """SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey
-  JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderkey % 400 = 0"""
+  JOIN supplier ON l_suppkey = s_suppkey"""
 
 
 def rank(expression: str) -> str:
@@ -65,7 +67,7 @@ ORACLES = {
       SELECT inode, (bits & 4) = 4 AS may_read, (bits & 2) = 2 AS may_write, (bits & 1) = 1 AS may_run FROM b""",
     "mode_rules": f"""WITH {INODES} SELECT inode, CASE WHEN (mode & 8) <> 0 THEN mode & ~2048 & ~1024 ELSE mode & ~2048 END AS plain_mode,
       CASE WHEN (mode & 1024) <> 0 THEN gid ELSE 99 END AS child_gid, uid = 7 AS deletable FROM inodes""",
-    "name_rules": """WITH n AS (SELECT doc_id, substr(coalesce(text, ''), 1, 300) AS name FROM documents)
+    "name_rules": """WITH n AS (SELECT doc_id, coalesce(text, '') AS name FROM documents)
       SELECT doc_id, strlen(name) BETWEEN 1 AND 255 AND name NOT IN ('.', '..') AND NOT contains(name, '/') AS valid_name, strlen(name) BETWEEN 1 AND 4096 AS valid_target,
              lower(hex(substr(name, 1, 8)::BLOB)) AS prefix_hex FROM n""".replace("hex(substr(name, 1, 8)::BLOB)", "hex(encode(substr(name, 1, 8)))"),
     "error_codes": """WITH c AS (SELECT 3221225472 + o_orderkey * 65537 AS code FROM orders)
@@ -80,12 +82,12 @@ ORACLES = {
     "current_grants": """SELECT o_orderkey AS root_id, o_custkey AS holder FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 2000
       AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
     "ancestry": f"""WITH RECURSIVE {ENTRIES}, up AS (SELECT inode, inode AS ancestor, 0 AS distance FROM entries
-      UNION ALL SELECT up.inode, e.parent, up.distance + 1 FROM up JOIN entries e ON up.ancestor = e.inode WHERE up.distance < 16)
+      UNION ALL SELECT up.inode, e.parent, up.distance + 1 FROM up JOIN entries e ON up.ancestor = e.inode)
       SELECT inode, ancestor, min(distance) AS distance FROM up GROUP BY ALL""",
     "deadlock": f"WITH RECURSIVE {closure(WAITS)} SELECT src, count(*) AS reach, bool_or(src = dst) AS deadlocked FROM reach GROUP BY src",
     "lock_conflicts": """WITH locks AS (SELECT l_linestatus AS kind, l_suppkey AS owner, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS a, date_diff('day', DATE '1992-01-01', max(l_shipdate)::DATE) + max(l_quantity)::BIGINT AS b,
         min(l_orderkey) AS seq, CASE WHEN max(l_linenumber) > 3 THEN 'write' ELSE 'read' END AS t FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_linestatus, l_suppkey, date_diff('day', DATE '1992-01-01', l_shipdate::DATE)),
-      asked AS (SELECT o_orderkey AS ask_id, CASE WHEN o_orderkey % 2 = 0 THEN 'O' ELSE 'F' END AS kind, o_custkey % 10 AS owner, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS a, CASE WHEN o_orderpriority LIKE '1%' THEN 'write' ELSE 'read' END AS t FROM orders WHERE o_orderkey < 2000),
+      asked AS (SELECT o_orderkey AS ask_id, CASE WHEN o_orderkey % 2 = 0 THEN 'O' ELSE 'F' END AS kind, o_custkey % 10 AS owner, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS a, CASE WHEN o_orderpriority LIKE '1%' THEN 'write' ELSE 'read' END AS t FROM orders),
       met AS (SELECT ask_id, l.a AS start, seq FROM asked q JOIN locks l ON q.kind = l.kind AND q.owner <> l.owner AND l.a <= q.a + 3 AND l.b >= q.a AND (l.t = 'write' OR q.t = 'write'))
       SELECT ask_id, start, seq FROM met QUALIFY row_number() OVER (PARTITION BY ask_id ORDER BY start, seq) = 1""",
     "reconcile_results": """WITH t AS (SELECT c_custkey AS id, CASE WHEN c_acctbal > 0 THEN 'pass' ELSE 'fail' END AS status FROM customer WHERE c_custkey % 10 <> 3),
@@ -106,7 +108,7 @@ ORACLES = {
         AND o.file_offset - o.chunk_offset = n.file_offset - n.chunk_offset AND o.file_offset <= n.file_offset AND n.file_offset + n.length <= o.file_offset + o.length)""",
     "sparse_files": f"WITH {EXTENTS}, {merged('extents', 'owner', False, '2600')} SELECT owner, sum(b - greatest(a, 0))::BIGINT AS held, (2600 - sum(b - greatest(a, 0)))::BIGINT AS zero FROM merged GROUP BY owner",
     "receipts_quorum": """SELECT l_orderkey AS write_id, count(*) AS receipts, count(DISTINCT s_suppkey) AS n_nodes, count(DISTINCT s_nationkey) AS n_domains,
-      count(DISTINCT s_suppkey) >= 3 AND count(DISTINCT s_nationkey) >= 2 AND count(*) = count(DISTINCT s_suppkey) AS met FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey < 3000 GROUP BY l_orderkey""",
+      count(DISTINCT s_suppkey) >= 3 AND count(DISTINCT s_nationkey) >= 2 AND count(*) = count(DISTINCT s_suppkey) AS met FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_orderkey""",
     "counters": "SELECT event_type, user_id % 2 AS shard, count(*) AS n FROM events GROUP BY ALL",
     "value_histogram": " UNION ALL ".join(map(le, [1.0, 5.0, 20.0, 50.0, None])),
     "last_exemplars": """WITH b AS (SELECT *, CASE WHEN value <= 1 THEN '1.0' WHEN value <= 5 THEN '5.0' WHEN value <= 20 THEN '20.0' WHEN value <= 50 THEN '50.0' ELSE '+Inf' END AS le FROM events)
@@ -117,7 +119,7 @@ ORACLES = {
     "stage_summary": """WITH f AS (SELECT l_returnflag, l_linestatus, unnest([l_quantity, l_extendedprice]) AS v FROM lineitem)
       SELECT l_returnflag, l_linestatus, count(*) AS samples, min(v) AS least, max(v) AS largest, round(sum(v::DECIMAL(20, 4)), 2)::DOUBLE AS total FROM f GROUP BY ALL""",
     "paired_speed": """WITH s AS (SELECT user_id, sum(value::DECIMAL(18, 4)) FILTER (event_type = 'view') AS x, sum(value::DECIMAL(18, 4)) FILTER (event_type = 'click') AS y FROM events GROUP BY ALL),
-      r AS (SELECT x::DOUBLE / y::DOUBLE AS r FROM s WHERE x IS NOT NULL AND y > 0)
+      r AS (SELECT x::DOUBLE / y::DOUBLE AS r FROM s WHERE x IS NOT NULL AND y > 0 AND user_id >= 3)
       SELECT count(*) AS rounds, round(median(r), 6) AS median, round(min(r), 6) AS least, round(max(r), 6) AS largest, median(r) >= 0.9 AS pass FROM r""",
     "improvement": """WITH s AS (SELECT (sum(value::DECIMAL(18, 4)) FILTER (event_type = 'view'))::DOUBLE AS a, (sum(value::DECIMAL(18, 4)) FILTER (event_type = 'click'))::DOUBLE AS b FROM events)
       SELECT round((a - b) / a, 6) AS improvement, b / a BETWEEN 0.9 AND 1.1 AS in_band FROM s""",
@@ -126,14 +128,14 @@ ORACLES = {
         count(*) FILTER (event_type = 'signup') AS todo, count(*) FILTER (event_type = 'purchase') AS incomplete FROM events GROUP BY user_id)
       SELECT *, CASE WHEN incomplete > 0 THEN 'incomplete' WHEN failed > 0 THEN 'failed' ELSE 'passed' END AS verdict FROM c""",
     "scrape_delta": """WITH c AS (SELECT user_id, count(*) FILTER (event_id % 3 = 1) - count(*) FILTER (event_id % 3 = 0) AS delta FROM events GROUP BY user_id) SELECT * FROM c WHERE delta <> 0""",
-    "tree_digest": f"WITH {ENTRIES}, l AS (SELECT parent, name || ':' || inode AS line FROM entries) SELECT parent, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l GROUP BY parent",
+    "tree_digest": f"WITH {ENTRIES}, l AS (SELECT parent, name || ':' || inode AS line FROM entries), b AS (SELECT parent, substr(sha256(line), 1, 2) AS b, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM l GROUP BY ALL) SELECT parent, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM b GROUP BY parent",
     "cookie_pages": f"WITH {ENTRIES}, r AS (SELECT parent, name, row_number() OVER (PARTITION BY parent ORDER BY name) AS cookie FROM entries) SELECT * FROM r WHERE cookie BETWEEN 11 AND 15",
     "soft_limited_feed": f"WITH {CHANGES}, r AS (SELECT *, rank() OVER (ORDER BY revision) AS k FROM changes) SELECT revision, event_index, key, kind FROM r WHERE k <= 100",
     "repair_candidates": f"""WITH {LIVE}, tasks AS (SELECT DISTINCT l_partkey AS chunk_id FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 48)
       SELECT chunk_id, 'task' AS origin FROM tasks UNION ALL SELECT chunk_id, 'new' FROM health WHERE health = 'UnderReplicated' AND chunk_id NOT IN (SELECT chunk_id FROM tasks)""",
     "first_per_key": "SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1",
     "set_difference": """SELECT c_custkey AS id, 'only listed' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
-      UNION ALL SELECT c_custkey, 'both' FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey % 50 = 0""",
+      UNION ALL SELECT c_custkey, 'both' FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)""",
     "first_seen_order": "SELECT user_id, min(event_id) AS first_at FROM events GROUP BY user_id",
     "feed_after": f"WITH {CHANGES} SELECT revision, event_index, key, kind, (SELECT max(revision) FROM changes) AS next_revision FROM changes WHERE revision > 50 AND key % 5 = 1",
     "feed_state": f"WITH {CHANGES}, l AS (SELECT key, revision, event_index, kind, value FROM changes QUALIFY row_number() OVER (PARTITION BY key ORDER BY revision DESC, event_index DESC) = 1) SELECT key, revision, event_index, value FROM l WHERE kind <> 'delete'",
@@ -159,4 +161,6 @@ ORACLES = {
     "chunk_digests": "SELECT sha256(coalesce(text, '')) AS chunk_id, count(*) AS refs, max(strlen(coalesce(text, ''))) AS length FROM documents GROUP BY 1",
     "first_readable": f"WITH {NODES}, {COPIES} SELECT chunk_id, node_id FROM copies JOIN nodes USING (node_id) WHERE ready AND live QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY domain, node_id) = 1",
     "capacity": f"WITH {CHUNKS} SELECT sum(length)::BIGINT AS used, count(*) AS files, (1000000000 - sum(length))::BIGINT AS free FROM chunks",
-}
+    "stream_hourly_counts": """WITH c AS (SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n FROM events GROUP BY ALL)
+      SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS start, event_type, n FROM c WHERE h + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)""",
+} | rules.ORACLES | files.ORACLES

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark import relations as R
 from tidemark.functions import posix as P
-from tidemark.operators import feed, intervals, joins, lookup, placement, stats, transactions
+from tidemark.operators import feed, intervals, joins, lookup, placement, stats
+from tidemark.plans import files, rules
 from tidemark.session import load
 from tidemark.staging import shared_folder
 from tidemark.streaming import changes as streams
@@ -104,11 +105,6 @@ def mode_rules(s, d):
 
 
 def name_rules(s, d):
-    return rules_of(load(s, d, "documents").select("doc_id", F.coalesce(F.substring("text", 1, 300), F.lit("")).alias("name")))
-
-
-def name_rules_all(s, d):
-    """name_rules over whole texts."""
     return rules_of(load(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("name")))
 
 
@@ -170,11 +166,6 @@ def waits_for(s, d, o):
 
 
 def deadlock(s, d):
-    return reach_of(waits_for(s, d, load(s, d, "orders").filter("o_orderkey % 400 = 0")))
-
-
-def deadlock_all(s, d):
-    """deadlock over all orders."""
     return reach_of(waits_for(s, d, load(s, d, "orders")))
 
 
@@ -184,11 +175,6 @@ def reach_of(edges):
 
 
 def lock_conflicts(s, d):
-    return conflicts_of(s, d, load(s, d, "orders").filter("o_orderkey < 2000"))
-
-
-def lock_conflicts_all(s, d):
-    """lock_conflicts of all orders' asks."""
     return conflicts_of(s, d, load(s, d, "orders"))
 
 
@@ -247,11 +233,6 @@ def sparse_files(s, d):
 
 
 def receipts_quorum(s, d):
-    return quorum_of(s, d, load(s, d, "lineitem").filter("l_orderkey < 3000"))
-
-
-def receipts_quorum_all(s, d):
-    """receipts_quorum of all writes."""
     return quorum_of(s, d, load(s, d, "lineitem"))
 
 
@@ -293,7 +274,7 @@ def stage_summary(s, d):
 
 def paired_speed(s, d):
     e = load(s, d, "events").filter("event_type IN ('view', 'click')").groupBy(F.col("user_id").alias("round"), "event_type").agg(F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("value"))
-    r = stats.paired_ratios(e, "round", "event_type", "value", "view", "click", 0.9)
+    r = stats.paired_ratios(e, "round", "event_type", "value", "view", "click", 0.9, warm_up=3)
     return r.select("rounds", *[F.round(c, 6).alias(c) for c in ("median", "least", "largest")], "pass")
 
 
@@ -346,11 +327,6 @@ def first_per_key(s, d):
 
 
 def set_difference(s, d):
-    return sides_of(s, d).filter("side <> 'both' OR id % 50 = 0")
-
-
-def set_difference_all(s, d):
-    """set_difference with all of the intersection."""
     return sides_of(s, d)
 
 
@@ -399,15 +375,6 @@ def hash_partitions(s, d):
     return R.chunks(s, d).select("chunk_id", placement.partition_of(F.col("chunk_id").cast("string"), 64).alias("partition"))
 
 
-def replica_groups(s, d):
-    g = placement.replica_groups(R.chunks(s, d), R.nodes(s, d), 64, 3)
-    return g.select("chunk_id", "partition", F.array_join(F.transform("replicas", lambda x: x.cast("string")), ",").alias("replicas"))
-
-
-def replica_batches(s, d):
-    return placement.by_plan(replica_groups(s, d))
-
-
 def sync_prefixes(s, d):
     plan = R.copies(s, d).join(R.nodes(s, d).select("node_id", "domain"), "node_id")
     return placement.sync_prefix(plan.withColumn("position", F.col("node_id")), ["chunk_id"], "position", 3, 3)
@@ -437,20 +404,6 @@ def capacity(s, d):
     return c.select("used", "files", (F.lit(10**9) - F.col("used")).alias("free"))
 
 
-def conditional_transactions(s, d):
-    e = load(s, d, "events")
-    log = e.select((F.col("user_id") % 8).alias("partition"), F.col("event_id").alias("place"), F.col("user_id").cast("string").alias("caller"), F.floor(F.col("event_id") / 3).cast("string").alias("request"), F.col("event_type").alias("digest"),
-                   F.col("user_id").cast("string").alias("key"), F.when(F.col("event_type") == "signup", F.lit(0).cast("long")).alias("expect"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"), F.col("value").cast("string").alias("value"))
-    return transactions.transactions(log)
-
-
-def lease_log(s, d):
-    e = load(s, d, "events")
-    op = F.when(F.col("event_type").isin("view", "click"), "acquire").when(F.col("event_type") == "signup", "renew").when(F.col("event_type") == "error", "release").otherwise("write")
-    log = e.select(F.col("user_id").alias("partition"), F.col("event_id").alias("place"), op.alias("op"), (F.col("event_id") % 3).cast("string").alias("holder"), F.lit(1).cast("long").alias("epoch"), F.col("event_id").alias("now"), F.lit(300).cast("long").alias("ttl"))
-    return transactions.write_leases(log)
-
-
 def stream_dedup(s, d):
     """The events through a stream that keeps each id once."""
     out = streams.deduplicated(streams.source(s, d, "events.parquet"))
@@ -465,7 +418,9 @@ def stream_session_epochs(s, d):
 
 def stream_hourly_counts(s, d):
     """Counts per hour and type of the windows that the watermark has closed."""
-    return streams.written(streams.windowed(streams.source(s, d, "events.parquet")), shared_folder(s))
+    out = streams.written(streams.windowed(streams.source(s, d, "events.parquet")), shared_folder(s))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
-QUERIES = {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and k not in ("waits_for", "rules_of", "reach_of", "conflicts_of", "quorum_of", "sides_of")}
+HELPERS = ("waits_for", "rules_of", "reach_of", "conflicts_of", "quorum_of", "sides_of")
+QUERIES = {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and k not in HELPERS} | rules.QUERIES | files.QUERIES

@@ -62,3 +62,41 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "error", "delete").otherwise("put")
     return e.select(F.floor(F.col("event_id") / 3).alias("revision"), (F.col("event_id") % 3).alias("event_index"), F.col("user_id").alias("key"), kind.alias("kind"), "value", "ts", "event_type")
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node_id, domain, lease_epoch, lease_ms, devices): node sessions, devices an array of (device_id, device_epoch, catalog_revision)."""
+    s = load(spark, sf_dir, "supplier")
+    device = lambda i, e, c: F.struct(i.cast("long").alias("device_id"), e.cast("long").alias("device_epoch"), c.cast("long").alias("catalog_revision"))
+    devices = F.array(device(F.col("s_suppkey") % 4, F.col("s_nationkey") % 3 + 1, F.col("s_nationkey") % 7), device((F.col("s_suppkey") + 1) % 4, F.lit(1), F.lit(6)))
+    return s.select(F.col("s_suppkey").alias("node_id"), F.col("s_nationkey").alias("domain"), (F.col("s_nationkey") % 5 + 1).alias("lease_epoch"), F.floor(F.col("s_acctbal") * 100).cast("long").alias("lease_ms"), devices.alias("devices"))
+
+
+def digested_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, length, digest)."""
+    return chunks(spark, sf_dir).withColumn("digest", F.md5(F.col("chunk_id").cast("string")))
+
+
+def stored_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies with where they lie and what was verified: (chunk_id, node_id, ready, node_epoch, device_id,
+    device_epoch, catalog_revision, bytes, digest)."""
+    li = load(spark, sf_dir, "lineitem")
+    c = li.groupBy(F.col("l_partkey").alias("chunk_id"), F.col("l_suppkey").alias("node_id")).agg(
+        (F.max("l_returnflag") == "A").alias("ready"), (F.max("l_linenumber") % 6).alias("node_epoch"), (F.min("l_linenumber") % 4).alias("device_id"), (F.count(F.lit(1)) % 3 + 1).alias("device_epoch"),
+        (F.max("l_quantity").cast("long") % 7).alias("catalog_revision"), F.when(F.max("l_linenumber") == 7, 1).otherwise(0).alias("lost"), F.when(F.min("l_linenumber") == 5, "x").otherwise("").alias("altered"),
+    )
+    held = digested_chunks(spark, sf_dir)
+    return c.join(held, "chunk_id").withColumn("bytes", F.col("length") - F.col("lost")).withColumn("digest", F.concat("digest", "altered")).drop("length", "lost", "altered")
+
+
+def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(inode, target, xattrs): links' targets and extended attributes as an array of (name, value)."""
+    c = load(spark, sf_dir, "customer")
+    one = lambda n, v: F.struct(F.lit(n).alias("name"), v.cast("string").alias("value"))
+    pair = F.array(one("user.segment", F.col("c_mktsegment")), one("user.nation", F.col("c_nationkey")))
+    return c.select(F.concat(F.lit("c"), "c_custkey").alias("inode"), F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("/"), "c_name")).alias("target"), F.when(F.col("c_custkey") % 2 == 0, pair).otherwise(F.slice(pair, 1, 1)).alias("xattrs"))
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, data): chunks with their bytes."""
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))

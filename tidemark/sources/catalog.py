@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.feed import gaps
 
 CATALOG = "revision long, records array<struct<chunk_id:string,length:bigint,digest:string,state:string>>, checksum string"
 SNAPSHOT = "schema_version int, revision long, entities array<struct<kind:string,id:string,revision:bigint>>"
-#: A frame of the log: magic, length, revision, CRC-32 of the body.
-MAGIC, FRAME, FRAME_SIZE = b"TDLG", "<4sIQI", 20
+#: A frame of the log: magic, version, length of the body, and a checksum of version, length and body; 28 bytes.
+MAGIC, FRAME, FRAME_SIZE = b"TDLG", "<4sQQ8s", 28
+
+
+def checksum() -> Column:
+    """Of a catalog line: its revision and its records' fields."""
+    each = F.transform("records", lambda r: F.concat_ws(":", *[F.coalesce(r[c].cast("string"), F.lit("")) for c in ("chunk_id", "length", "digest", "state")]))
+    return F.sha2(F.concat_ws("|", F.col("revision").cast("string"), F.array_join(each, ",")), 256)
+
+
+def write_catalog(lines: DataFrame, path: str) -> None:
+    """Lines (revision, records) with their checksums as JSON Lines."""
+    lines.select("revision", "records", checksum().alias("checksum")).write.json(path)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A catalog's current records: of every chunk the last. Lines that are no JSON of the schema fail."""
+    """A catalog's current records: of every chunk the last. A line that is no JSON of the schema, or whose checksum
+    is another than its fields', fails the query; lines of before there were checksums have none."""
     lines = spark.read.schema(CATALOG).option("mode", "FAILFAST").json(path)
+    good = F.col("checksum").isNull() | (F.col("checksum") == checksum())
+    lines = lines.withColumn("records", F.when(good, F.col("records")).otherwise(F.raise_error(F.concat(F.lit("checksum of revision "), F.col("revision").cast("string")))))
     each = lines.select("revision", F.posexplode("records").alias("at", "r")).select("revision", "at", "r.*")
     last = each.groupBy("chunk_id").agg(F.max_by(F.struct("length", "digest", "state", "revision"), F.struct("revision", "at")).alias("l"))
     return last.select("chunk_id", "l.*")
@@ -37,10 +52,11 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """(name, labels, value) of metric text: comments and blank lines are passed over."""
+    """(name, labels, value) of metric text: comments and blank lines are passed over, a value that is no number
+    (exponents, NaN and signed Inf are) fails the query."""
     lines = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
     shape = r"^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{([^}]*)\})? +([^ ]+)"
-    return lines.select(*[F.regexp_extract("value", shape, k).alias(n) for k, n in ((1, "name"), (2, "labels"))], F.try_to_number(F.regexp_extract("value", shape, 3), F.lit("S999999999999D999999")).cast("double").alias("value"))
+    return lines.select(*[F.regexp_extract("value", shape, k).alias(n) for k, n in ((1, "name"), (2, "labels"))], F.regexp_extract("value", shape, 3).cast("double").alias("value"))
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
@@ -56,36 +72,51 @@ def reconcile_files(catalog: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("chunk_id", state.alias("state"))
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(chunk_id, size) of the files of a folder; their contents are not read."""
+def list_files(spark: SparkSession, path: str, name: str = "([^/]+)$") -> DataFrame:
+    """(chunk_id, size) of the files of a folder, the id by a pattern of the path; their contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("chunk_id"), F.col("length").alias("size"))
+    return found.select(F.regexp_extract("path", name, 1).alias("chunk_id"), F.col("length").alias("size"))
 
 
-def frame(revision: int, body: bytes) -> bytes:
-    import zlib
+def frame_checksum(version: int, body: bytes) -> bytes:
+    return hashlib.sha256(struct.pack("<QQ", version, len(body)) + body).digest()[:8]
 
-    return struct.pack(FRAME, MAGIC, len(body), revision, zlib.crc32(body)) + body
 
+def frame(version: int, body: bytes) -> bytes:
+    return struct.pack(FRAME, MAGIC, version, len(body), frame_checksum(version, body)) + body
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """(file, revision, body) of log files, up to the first torn or damaged frame of each file."""
 
-    def run(batches):
-        import zlib
+def as_logs(records: DataFrame) -> DataFrame:
+    """Logs (path, content) of records (path, revision, body, damaged), by revision; a damaged one has a wrong byte."""
+    rows = F.array_sort(F.collect_list(F.struct("revision", "body", "damaged")))
+
+    def write(logs: pd.Series) -> pd.Series:
+        one = lambda r: frame(r["revision"], bytes(r["body"]))[: -1 if r["damaged"] else None] + (b"?" if r["damaged"] else b"")
+        return pd.Series([b"".join(map(one, log)) for log in logs])
 
+    return records.groupBy("path").agg(rows.alias("log")).select("path", F.pandas_udf(write, "binary")("log").alias("content"))
+
+
+def frames_of(logs: DataFrame) -> DataFrame:
+    """(file, revision, body) of logs (path, content), up to the first torn or damaged frame of each."""
+
+    def run(batches):
         for batch in batches:
             rows = []
             for name, data in zip(batch["path"], batch["content"], strict=True):
                 at = 0
                 while at + FRAME_SIZE <= len(data):
-                    magic, size, revision, crc = struct.unpack_from(FRAME, data, at)
+                    magic, version, size, said = struct.unpack_from(FRAME, data, at)
                     body = data[at + FRAME_SIZE : at + FRAME_SIZE + size]
-                    if magic != MAGIC or len(body) < size or zlib.crc32(body) != crc:
+                    if magic != MAGIC or len(body) < size or frame_checksum(version, body) != said:
                         break
-                    rows.append((name, revision, body))
+                    rows.append((name, version, body))
                     at += FRAME_SIZE + size
             yield pd.DataFrame(rows, columns=["file", "revision", "body"])
 
-    found = spark.read.format("binaryFile").load(path).select("path", "content")
-    return found.mapInPandas(run, "file string, revision long, body binary")
+    return logs.select("path", "content").mapInPandas(run, "file string, revision long, body binary")
+
+
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """The frames of log files."""
+    return frames_of(spark.read.format("binaryFile").load(path))

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: in spark.checkpoint.dir, or in an own one where that is unset."""
+    """A fresh folder that driver and executors share: in spark.checkpoint.dir. Where that is unset, a local session
+    gets an own one; a cluster's executors could not read it, so there it is an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         found = sc.getCheckpointDir()
     return f"{found.rstrip('/')}/{uuid.uuid4().hex}"

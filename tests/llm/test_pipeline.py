@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 
@@ -50,7 +51,43 @@ def test_empty(spark):
     assert docs.count() == 0
 
 
+def test_ids_and_columns_that_clash(spark):
+    """Null and repeated ids, and columns named like those of the stages: no row of a text of its own is lost."""
+    rows = [(None if i % 3 == 0 else i % 4, f"{r[1]} number {i}", "en", "s", 1, "a", 2) for i, r in enumerate(fixture()[:60])]
+    docs = spark.createDataFrame(rows, COLUMNS + ", place string, kept int")
+    for name, step in C.STAGES[:3]:
+        docs = C.stage(step(spark, docs, ""), "t")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "place", "kept"] and docs.count() == 60, name
+    mixed = C.STAGES[3][1](spark, docs, "")
+    assert mixed.columns == docs.columns and mixed.count() == 60
+    assert C.STAGES[4][1](spark, mixed, "").filter("round_trip").count() == 60
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the given tables")
 def test_run(spark):
+    """The stages on the table, each against a plain version over what the one before kept."""
+    from test_pii import slow
+    from test_simhash import slow_components, slow_print
+
+    from tidemark.llm import mixing, quality
+
+    docs = C.table(spark, "/root/testdata/sf0.001", "documents")
+    good = C.stage(C.keep_quality(spark, docs, ""), "t")
+    kept = {r.doc_id for r in quality.judge(docs).filter("kept").collect()}
+    assert {r.doc_id for r in good.collect()} == kept
+    rows = sorted((r.doc_id, r.text) for r in good.collect())
+    label = slow_components([slow_print(t) for _, t in rows])
+    single = C.stage(C.drop_near_duplicates(spark, good, ""), "t")
+    assert sorted(r.doc_id for r in single.collect()) == sorted({rows[k][0] for k in label})
+    masked = C.stage(C.mask_personal_data(spark, single, ""), "t")
+    before = {r.doc_id: r.text for r in single.collect()}
+    for r in masked.collect():
+        assert not slow(r.text) and r.n_chars == len(r.text)
+        if not re.search("[0-9@]", before[r.doc_id]):
+            assert r.text == before[r.doc_id]
+    mixed = C.stage(C.mix_sources(spark, masked, ""), "t")
+    times = {r.doc_id: (2 * r.taken + r["size"]) // (2 * r["size"]) for r in mixing.mix(masked, real_blocks=True).collect()}
+    counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert counts == {d: n for d, n in times.items() if n}
     got = C.run(spark, "/root/testdata/sf0.001").collect()
-    assert got and all(r.round_trip for r in got)
+    assert len(got) == mixed.count() and all(r.round_trip for r in got)

@@ -1,5 +1,7 @@
 """SimHash: fingerprints and components against brute force, crowded nodes, edge cases."""
 
+import itertools
+import os
 import random
 
 import numpy as np
@@ -9,6 +11,8 @@ import xxhash
 
 from tidemark.llm import simhash as S
 
+DIR = "/root/testdata/sf0.01"
+
 
 def slow_print(text):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
@@ -67,3 +71,24 @@ def test_keep_first(spark):
     got = S.keep_first(spark.createDataFrame(rows, "doc_id long, text string, fp long"))
     assert got.columns == ["doc_id", "text", "fp"]
     assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 8]
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the given tables")
+def test_whole_table(spark):
+    """The query against all pairs of the table."""
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect())
+    prints = [slow_print(t) for _, t in rows]
+    label = slow_components(prints)
+    want = {d: (f"{p:016x}", rows[k][0]) for (d, _), p, k in zip(rows, prints, label, strict=True)}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in S.query(spark, DIR).collect()} == want
+
+
+def test_tries_turn_back():
+    keys = np.random.default_rng(3).integers(0, 2**64, 50, dtype=np.uint64)
+    for trie in range(len(S.TRIES)):
+        laid = np.zeros(len(keys), np.uint64)
+        for below, to, width in S.moves(trie):
+            laid |= (keys >> np.uint64(below) & np.uint64((1 << width) - 1)) << np.uint64(to)
+        assert (S.put_back(laid, np.full(len(keys), trie)).view(np.uint64) == keys).all() and len(set(laid)) == len(keys)
+    for bits in itertools.combinations(range(64), 3):  # in some trie no differing bit is among the first TOP
+        assert any(all(k < 64 - S.TOP for k in [to + b - below for b in bits for below, to, width in S.moves(t) if below <= b < below + width]) for t in range(len(S.TRIES)))

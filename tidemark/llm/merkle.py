@@ -92,17 +92,19 @@ def followed(docs: DataFrame) -> DataFrame:
     at, b = bucket(docs)
     rows = rows.withColumn("__at", at).withColumn("b", b).drop("__at")
     order = Window.partitionBy("b").orderBy(F.col("doc_id").asc_nulls_first(), "th")
-    one = F.struct("text", "tree")
-    laid = short(rows, "text", "tree").withColumns({"next": F.lead(one).over(order), "rn": F.row_number().over(order)})
+    # one column of text and tree, so that both lie in the shuffle once; a first row is told by the lag, as a filter on
+    # its number would cut the rows before another shuffle of them
+    whole = short(rows, "text", "tree").select("doc_id", "th", "b", F.struct("text", "tree").alias("one"))
+    laid = whole.withColumns({"next": F.lead("one").over(order), "before": F.lag("th").over(order)})
     buckets = rows.select("b").distinct().withColumn("stretch", F.shiftright("b", STRETCH))
     starts = Window.orderBy("stretch")
     stretches = buckets.groupBy("stretch").agg(F.min("b").alias("start")).select(F.col("stretch").alias("s"), F.coalesce(F.lead("start").over(starts), F.first("start").over(starts)).alias("after"))
     chain = buckets.withColumn("within", F.lead("b").over(Window.partitionBy("stretch").orderBy("b"))).join(stretches, F.col("stretch") == F.col("s"))
     chain = chain.select(F.col("b").alias("c_b"), F.coalesce("within", "after").alias("c_next"))
-    heads = laid.filter("rn = 1").select(F.col("b").alias("h_b"), one.alias("head"))
+    heads = laid.filter("before IS NULL").select(F.col("b").alias("h_b"), F.col("one").alias("head"))
     last = laid.filter("next IS NULL").drop("next").join(chain, F.col("b") == F.col("c_b")).join(heads, F.col("c_next") == F.col("h_b"))
-    found = laid.filter("next IS NOT NULL").select("doc_id", "text", "tree", "next").unionByName(last.select("doc_id", "text", "tree", F.col("head").alias("next")))
-    return found.select("doc_id", "text", "tree", F.col("next.text").alias("next_text"), F.col("next.tree").alias("next_tree"))
+    found = laid.filter("next IS NOT NULL").select("doc_id", "one", "next").unionByName(last.select("doc_id", "one", F.col("head").alias("next")))
+    return found.select("doc_id", "one.text", "one.tree", F.col("next.text").alias("next_text"), F.col("next.tree").alias("next_tree"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

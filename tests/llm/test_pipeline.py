@@ -86,7 +86,7 @@ def test_run(spark):
         if not re.search("[0-9@]", before[r.doc_id]):
             assert r.text == before[r.doc_id]
     mixed = C.stage(C.mix_sources(spark, masked, ""), "t")
-    times = {r.doc_id: (2 * r.taken + r["size"]) // (2 * r["size"]) for r in mixing.mix(masked, real_blocks=True).collect()}
+    times = {r.doc_id: (2 * r.taken + r["size"]) // (2 * r["size"]) for r in mixing.mix(masked).collect()}
     counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert counts == {d: n for d, n in times.items() if n}
     got = C.run(spark, "/root/testdata/sf0.001").collect()

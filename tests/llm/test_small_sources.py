@@ -10,12 +10,12 @@ def test_target_of_a_small_source(spark, size):
     big = [(i, "w " * 50, "b") for i in range(400)]
     rows = big + [(1000 + i, "v " * size, "a") for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = [r for r in mixing.mix(df, shard_words=200, real_blocks=True).collect() if r.size == size]
+    got = [r for r in mixing.mix(df, shard_words=200).collect() if r.size == size]
     assert len(got) == 30
     assert abs(sum(r.taken for r in got) - 3 * 30 * size) <= 96
     if size == 5:
         tiny = spark.createDataFrame([*big, (1, "v " * size, "a")], "doc_id long, text string, source string")
-        assert [r.taken for r in mixing.mix(tiny, shard_words=200, real_blocks=True).collect() if r.size == size] == [15]
+        assert [r.taken for r in mixing.mix(tiny, shard_words=200).collect() if r.size == size] == [15]
         assert len([r for r in mixing.repeated(tiny).collect() if r.source == "a"]) == 3
 
 

@@ -95,13 +95,13 @@ def order_key(seed: int):
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(text_of())))
 
 
-def mix(docs: DataFrame, *, weights=(5, 2, 1), most: int = 3, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED, real_blocks: bool = False) -> DataFrame:
+def mix(docs: DataFrame, *, weights=(5, 2, 1), most: int = 3, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
     """One row per input row: doc_id, place (its order key), size, source_size, target, taken.
 
     Two shuffles carry a few dozen bytes a row; texts are read once and never shuffled. A hot source
     is dealt over its shards, about one for every shard_words words and one for every shard_docs rows of the
-    source, so that a small one is one unit at any size of the table. With real_blocks a unit's votes count its last block at its real
-    size: as its seats take blocks, however short, a target of a whole number of cycles is met exactly.
+    source, so that a small one is one unit at any size of the table. A unit's votes count its last block at its
+    real size: as its seats take blocks, however short, a target of a whole number of cycles is met exactly.
     """
     sized = stage(docs.select("doc_id", "source", n_words(text_of()).alias("size"), order_key(seed).alias("place")), "sized")
     of = stage(sized.groupBy("source").agg(F.sum("size").alias("__words"), F.count(F.lit(1)).alias("__rows")).withColumnRenamed("source", "__of"), "sources")
@@ -112,8 +112,7 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), most: int = 3, block_words: int =
     sources = with_targets(by_unit.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     units = by_unit.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     units = stage(units.withColumn("votes", F.when(F.col("source_size") > 0, F.col("target") * F.col("words") / F.col("source_size")).otherwise(F.lit(0.0))), "units")
-    if real_blocks:
-        units = units.withColumn("votes", F.when(F.col("words") > 0, F.col("votes") * F.ceil(F.col("words") / block_words) * block_words / F.col("words")).otherwise(F.lit(0.0)))
+    units = units.withColumn("votes", F.when(F.col("words") > 0, F.col("votes") * F.ceil(F.col("words") / block_words) * block_words / F.col("words")).otherwise(F.lit(0.0)))
     n = units.count()
     quotas = apportion(units.filter("votes > 0").select("source", "shard", "words", "votes"), block_words, most)
     seen = quotas.select(F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "blocks", "quota")
@@ -146,7 +145,7 @@ def repeated(docs: DataFrame, **params) -> DataFrame:
     """The mix as documents, with the columns of docs: every row taken // size times, once more if at
     least half of it is left over. Only documents at the ends of a run of blocks are rounded so. A row
     without words has nothing to take and goes."""
-    mixed = mix(docs, **{"real_blocks": True, **params}).select(F.col("place").alias("__place"), F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0).cast("int").alias("__times"))
+    mixed = mix(docs, **params).select(F.col("place").alias("__place"), F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0).cast("int").alias("__times"))
     mixed = mixed.groupBy("__place").agg(F.max("__times").alias("__times")).filter("__times > 0")  # equal rows: alike
     placed = docs.withColumn("__at", order_key(params.get("seed", SEED)))
     return placed.join(mixed, F.col("__at") == F.col("__place")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[f"`{c}`"] for c in docs.columns])

@@ -18,7 +18,7 @@ levels AS (
 targets AS (SELECT source, source_size, least(cap, max(level) OVER () * weight) AS target FROM levels),
 units AS (
   SELECT u.source, u.shard, u.words, t.source_size, t.target,
-         CASE WHEN t.source_size > 0 THEN t.target * u.words / t.source_size ELSE 0 END AS votes
+         CASE WHEN u.words > 0 THEN t.target * u.words / t.source_size * ceil(u.words / 32)::BIGINT * 32 / u.words ELSE 0 END AS votes
   FROM by_unit u JOIN targets t ON u.source IS NOT DISTINCT FROM t.source),
 near AS (
   SELECT source, shard, votes, ceil(words / 32)::BIGINT AS blocks,

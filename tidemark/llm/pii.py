@@ -49,8 +49,6 @@ UNSURE = 0.1
 #: Matches of a text that prefix sums take together.
 CHUNK = 128
 
-SPAN = "struct<kind:int,start:int,end:int>"
-
 
 def let(value: Column, body) -> Column:
     """body of a value that is worked out once, however often body names it."""

@@ -87,14 +87,21 @@ def on_cycles(edges: DataFrame) -> DataFrame:
 def conflicts(locks: DataFrame, asked: DataFrame, width: int) -> DataFrame:
     """For every asked range the first lock, by start, seq, of another owner that overlaps it, if one of the two writes.
 
-    Ranges are inclusive. Both sides are put into buckets of `width`, which turns the overlap into an
-    equi-join; a pair that meets in several buckets is taken in the bucket where the later one starts."""
-    bucket = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
-    have = locks.withColumn("bucket", bucket("start", "end"))
-    want = asked.select(F.col("ask_id"), F.col("kind").alias("a_kind"), F.col("owner").alias("a_owner"), F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("lock_type").alias("a_type")).withColumn("a_bucket", bucket("a_start", "a_end"))
-    met = want.join(have, (F.col("bucket") == F.col("a_bucket")) & (F.col("kind") == F.col("a_kind")))
+    Ranges are inclusive. Both sides are put into buckets of `width`, which turns the overlap into an equi-join. Of
+    the locks that fill a bucket only the first ones of two owners, by type, can be an answer, so these are picked
+    beforehand; those that begin or end in a bucket are met each."""
+    at = lambda c: F.floor(F.col(c) / width)
+    first, last = at("start"), at("end")
+    keep = ["kind", "owner", "lock_type", "start", "end", "seq", "bucket"]
+    edges = locks.withColumn("bucket", F.explode(F.array_distinct(F.array(first, last)))).select(*keep)
+    inside = F.when(last - first > 1, F.sequence(first + 1, last - 1)).otherwise(F.array().cast("array<bigint>"))
+    filled = locks.withColumn("bucket", F.explode(inside)).groupBy("kind", "bucket", "lock_type", "owner").agg(F.min(F.struct("start", "seq")).alias("m"))
+    filled = filled.withColumn("k", F.row_number().over(Window.partitionBy("kind", "bucket", "lock_type").orderBy("m"))).filter("k <= 2")
+    filled = filled.select("kind", "owner", "lock_type", "m.start", ((F.col("bucket") + 1) * width - 1).alias("end"), "m.seq", "bucket")
+    want = asked.select(F.col("ask_id"), F.col("kind").alias("a_kind"), F.col("owner").alias("a_owner"), F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("lock_type").alias("a_type"))
+    want = want.withColumn("a_bucket", F.explode(F.sequence(at("a_start"), at("a_end"))))
+    met = want.join(edges.unionByName(filled), (F.col("bucket") == F.col("a_bucket")) & (F.col("kind") == F.col("a_kind")))
     met = met.filter((F.col("owner") != F.col("a_owner")) & (F.col("start") <= F.col("a_end")) & (F.col("end") >= F.col("a_start")) & ((F.col("lock_type") == "write") | (F.col("a_type") == "write")))
-    met = met.filter(F.col("bucket") == F.floor(F.greatest("start", "a_start") / width))
     return met.groupBy("ask_id").agg(F.min(F.struct("start", "seq")).alias("m")).select("ask_id", F.col("m.start").alias("start"), F.col("m.seq").alias("seq"))
 
 

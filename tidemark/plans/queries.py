@@ -182,7 +182,7 @@ def conflicts_of(s, d, orders):
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
     locks = e.filter("l_returnflag <> 'R'").groupBy(F.col("l_linestatus").alias("kind"), F.col("l_suppkey").alias("owner"), day.alias("start")).agg((F.max(day) + F.max("l_quantity").cast("long")).alias("end"), F.min("l_orderkey").alias("seq"), F.when(F.max("l_linenumber") > 3, "write").otherwise("read").alias("lock_type"))
     asked = orders.select(F.col("o_orderkey").alias("ask_id"), F.when(F.col("o_orderkey") % 2 == 0, "O").otherwise("F").alias("kind"), (F.col("o_custkey") % 10).alias("owner"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("start"), F.when(F.col("o_orderpriority").like("1%"), "write").otherwise("read").alias("lock_type"))
-    return joins.conflicts(locks, asked.withColumn("end", F.col("start") + 3), 16)
+    return joins.conflicts(locks, asked.withColumn("end", F.col("start") + 3), 4)
 
 
 def reconcile_results(s, d):

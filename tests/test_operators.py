@@ -173,3 +173,21 @@ def test_groups_with_heads(spark):
     got = {r.node_id: (r.device_id, r.replicas, r.domains) for r in placement.headed_groups(s, 3, 2).collect()}
     assert got[0] == (1, "0,2,4", 3) and got[5] == (1, "5,0,2", 3) and got[1] == (1, "1,2,4", 3)
     assert placement.headed_groups(s.filter("domain = 0"), 3, 2).count() == 0
+
+
+def test_groups_of_many_heads_without_pairs(spark):
+    """Long runs of one domain, against the rule as a loop; what is made stays far below the pairs of nodes."""
+    rng = random.Random(8)
+    domains = [0] * 150 + [1] * 40 + [rng.randint(0, 3) for _ in range(60)] + [0] * 250
+    rows = [(7 * k, d, [(2, 1), (1, 3)]) for k, d in enumerate(domains)]
+    s = spark.createDataFrame(rows, "node_id long, domain long, devices array<struct<device_id:long,device_epoch:long>>")
+    nodes = [(7 * k, d) for k, d in enumerate(domains)]
+    for size in (2, 3, 6):  # six: more than there are domains, so that the nearest of known ones follow
+        groups = placement.headed_groups(s, size, 1)
+        got = {r.node_id: r.replicas for r in groups.collect()}
+        assert got == {node: ",".join(map(str, greedy(nodes, k, size))) for k, (node, _) in enumerate(nodes)}
+        held = placement.ahead(placement.numbered(s.select("node_id", "domain")), size)
+        assert held.count() == len(nodes) and held.select(F.max(F.size("near"))).first()[0] <= 2 * size
+    assert "Generate" not in groups._jdf.queryExecution().executedPlan().toString()
+    one = placement.headed_groups(s.filter("node_id < 700"), 3, 1)
+    assert one.count() == 100 and {r.domains for r in one.collect()} == {1} and placement.headed_groups(s.filter("node_id = 0"), 3, 1).count() == 0

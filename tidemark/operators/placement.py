@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.posix import fnv1a
+from tidemark.staging import staged
 
 
 def partition_of(ident: Column, groups: int) -> Column:
@@ -27,8 +28,13 @@ def chosen(turned: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def numbered(nodes: DataFrame) -> DataFrame:
-    """Nodes with their place r from 0 by id and their number n. They are a cluster's, so one task orders them."""
-    return nodes.withColumn("r", F.row_number().over(Window.orderBy("node_id")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    """Nodes with their place r from 0 by id and their number n. Ids are dealt to parts by range and ordered inside
+    a part; only the parts' counts, a row each, are summed up in one task."""
+    dealt = staged(nodes.repartitionByRange("node_id").withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    parts = parts.select("_part", F.sum("_rows").over(Window.orderBy("_part")).alias("_upto"), "_rows", F.sum("_rows").over(Window.partitionBy()).alias("n"))
+    r = F.col("_upto") - F.col("_rows") + F.row_number().over(Window.partitionBy("_part").orderBy("node_id")) - 1
+    return dealt.join(parts, "_part").withColumn("r", r).drop("_part", "_upto", "_rows")
 
 
 def replica_groups(chunks: DataFrame, nodes: DataFrame, groups: int, size: int) -> DataFrame:
@@ -39,23 +45,41 @@ def replica_groups(chunks: DataFrame, nodes: DataFrame, groups: int, size: int)
     return chunks.withColumn("partition", partition_of(F.col("chunk_id").cast("string"), groups)).join(chosen(turned, "partition", size).drop("domains"), "partition")
 
 
+def ahead(targets: DataFrame, size: int) -> DataFrame:
+    """Targets (r, node_id, domain; other columns stay) numbered from 0 as a ring, with `near`: of the nodes from the own place on
+    those closer than `size` and the first ones of `size` domains, as (pos, node_id, domain) by pos.
+
+    What is known of the next `width` nodes is put before what the node `width` places on knows, and width doubles:
+    a row holds at most twice `size` nodes, and only rows that still lack domains go on, at worst once around."""
+    reach = staged(targets.withColumn("near", F.array(F.struct(F.lit(0).cast("long").alias("pos"), "node_id", "domain"))))
+    n, width = reach.count(), 1
+    domains = lambda near: F.size(F.array_distinct(F.transform(near, lambda x: x["domain"])))
+    wanted = lambda kept, x: (x["pos"] < size) | (~F.exists(kept, lambda y: y["domain"].eqNullSafe(x["domain"])) & (domains(kept) < size))
+    lacking = domains(F.col("near")) < size
+    while width < n and not reach.filter(lacking).isEmpty():
+        more = reach.select(F.col("r").alias("_at"), F.transform("near", lambda x: x.withField("pos", x["pos"] + width)).alias("_more"))
+        both = reach.filter(lacking).withColumn("_at", F.pmod(F.col("r") + width, F.lit(n))).join(more, "_at")
+        both = both.withColumn("near", F.filter(F.concat("near", "_more"), lambda x: x["pos"] < n))
+        both = both.withColumn("near", F.aggregate("near", F.slice("near", 1, 1), lambda kept, x: F.when((x["pos"] > 0) & wanted(kept, x), F.concat(kept, F.array(x))).otherwise(kept)))
+        reach = staged(reach.filter(~lacking).unionByName(both.select(*reach.columns)))
+        width *= 2
+    return reach
+
+
 def headed_groups(sessions: DataFrame, size: int, min_domains: int) -> DataFrame:
     """Of every live node the preferred device and the group that it heads, with the number of its domains: the head
     first, then the others from the next one on, new domains before known ones. Groups of too few domains go.
 
-    Only the `size` nearest of every domain and the `size` nearest of all can be chosen, but these depend on the
-    head; pairs of nodes of one cluster are made, never of chunks."""
+    Only the `size` nearest nodes and the nearest of `size` domains can be chosen; no pairs of nodes are made."""
     targets = sessions.select("node_id", "domain", F.array_min(F.transform("devices", lambda d: F.struct(d["device_id"].alias("device_id"), d["device_epoch"].alias("device_epoch")))).alias("d"))
-    targets = numbered(targets.select("node_id", "domain", F.col("d.device_id").alias("device_id")))
-    heads = targets.select(F.col("node_id").alias("head"), F.col("domain").alias("head_domain"), "device_id", F.col("r").alias("head_r"), "n")
-    steps = heads.withColumn("pos", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("n") - 1, F.lit(1))))).filter("pos < n")
-    turned = steps.withColumn("r", F.pmod(F.col("head_r") + F.col("pos"), F.col("n")).cast("int")).drop("n").join(targets.select("node_id", "domain", "r"), "r")
-    tail = chosen(turned.withColumn("again", F.col("domain") == F.col("head_domain")), "head", size - 1)
-    new = turned.join(tail.select("head", F.explode("replicas").alias("node_id")), ["head", "node_id"]).filter("domain <> head_domain").groupBy("head").agg(F.count_distinct("domain").alias("others"))
-    both = heads.join(tail.drop("domains"), "head").join(new, "head", "left")
-    domains = 1 + F.coalesce("others", F.lit(0))
-    replicas = F.array_join(F.transform(F.concat(F.array("head"), "replicas"), lambda x: x.cast("string")), ",")
-    return both.select(F.col("head").alias("node_id"), "device_id", replicas.alias("replicas"), domains.alias("domains")).filter(F.col("domains") >= min_domains)
+    targets = numbered(targets.select("node_id", "domain", F.col("d.device_id").alias("device_id"))).drop("n")
+    near = F.col("near")
+    known = lambda x: F.exists(near, lambda y: (y["pos"] < x["pos"]) & y["domain"].eqNullSafe(x["domain"]))
+    picked = F.slice(F.concat(F.filter(near, lambda x: ~known(x)), F.filter(near, known)), 1, size)
+    found = ahead(targets, size).filter(F.size("near") > 1).withColumn("group", picked)
+    replicas = F.array_join(F.transform("group", lambda x: x["node_id"].cast("string")), ",")
+    domains = F.size(F.array_distinct(F.transform("group", lambda x: x["domain"]))).cast("long")
+    return found.select("node_id", "device_id", replicas.alias("replicas"), domains.alias("domains")).filter(F.col("domains") >= min_domains)
 
 
 def sync_prefix(plan: DataFrame, keys: list[str], position: str, min_nodes: int, min_domains: int) -> DataFrame:

@@ -122,6 +122,25 @@ def test_conflicts_against_all_pairs(spark):
     assert rows(got) == sorted(want, key=repr)
 
 
+def test_conflicts_of_long_ranges_and_close_ends(spark):
+    """Ranges of any length, narrow and wide buckets, one owner ahead of all, owners and types that are missing."""
+    rng = random.Random(12)
+
+    def one(i, far):
+        a = rng.randint(-far, far)
+        return i, rng.choice("pf"), rng.choice([0, 0, 0, 1, 2, None]), rng.choice(["read", "read", "write", None]), a, a + rng.choice([-1, 0, 1, 5, far, 10**9 * far])
+
+    for far, width in ((12, 1), (12, 4), (1000, 4), (1000, 5000)):
+        locks, asked = [one(i, far) for i in range(80)], [one(i // 2, far) for i in range(160)]
+        got = joins.conflicts(spark.createDataFrame(locks, "seq int, kind string, owner int, lock_type string, start long, end long"), spark.createDataFrame(asked, "ask_id int, kind string, owner int, lock_type string, start long, end long"), width)
+        want = {}
+        for i, k, o, t, a, b in asked:
+            hit = [(x[4], x[0]) for x in locks if None not in (o, x[2]) and x[1] == k and x[2] != o and x[4] <= b and x[5] >= a and "write" in (t, x[3])]
+            if hit:
+                want[i] = min(*hit, *([want[i]] if i in want else [hit[0]]))
+        assert {r.ask_id: (r.start, r.seq) for r in got.collect()} == want and len(want) > 20
+
+
 # depth, cycles, missing parents
 
 

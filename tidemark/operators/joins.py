@@ -84,25 +84,55 @@ def on_cycles(edges: DataFrame) -> DataFrame:
         left = kept
 
 
+def counted(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df staged, and joined by broadcast if it has few rows; else it is joined like any other."""
+    df = staged(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def two_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """df with the least `place` so far, `first`, and the least one of another owner than that, `second`, by order.
+
+    Where the first one changes its owner, the one before it is less than all others: it is what is left to second."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("first", F.min("place").over(upto)).withColumn("_prior", F.lag("first").over(w))
+    left = F.when(F.col("place.owner") != F.col("first.owner"), F.col("place")).when(F.col("_prior.owner") != F.col("first.owner"), F.col("_prior"))
+    return df.withColumn("second", F.min(left).over(upto)).drop("_prior")
+
+
 def conflicts(locks: DataFrame, asked: DataFrame, width: int) -> DataFrame:
     """For every asked range the first lock, by start, seq, of another owner that overlaps it, if one of the two writes.
 
-    Ranges are inclusive. Both sides are put into buckets of `width`, which turns the overlap into an equi-join. Of
-    the locks that fill a bucket only the first ones of two owners, by type, can be an answer, so these are picked
-    beforehand; those that begin or end in a bucket are met each."""
-    at = lambda c: F.floor(F.col(c) / width)
-    first, last = at("start"), at("end")
-    keep = ["kind", "owner", "lock_type", "start", "end", "seq", "bucket"]
-    edges = locks.withColumn("bucket", F.explode(F.array_distinct(F.array(first, last)))).select(*keep)
-    inside = F.when(last - first > 1, F.sequence(first + 1, last - 1)).otherwise(F.array().cast("array<bigint>"))
-    filled = locks.withColumn("bucket", F.explode(inside)).groupBy("kind", "bucket", "lock_type", "owner").agg(F.min(F.struct("start", "seq")).alias("m"))
-    filled = filled.withColumn("k", F.row_number().over(Window.partitionBy("kind", "bucket", "lock_type").orderBy("m"))).filter("k <= 2")
-    filled = filled.select("kind", "owner", "lock_type", "m.start", ((F.col("bucket") + 1) * width - 1).alias("end"), "m.seq", "bucket")
-    want = asked.select(F.col("ask_id"), F.col("kind").alias("a_kind"), F.col("owner").alias("a_owner"), F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("lock_type").alias("a_type"))
-    want = want.withColumn("a_bucket", F.explode(F.sequence(at("a_start"), at("a_end"))))
-    met = want.join(edges.unionByName(filled), (F.col("bucket") == F.col("a_bucket")) & (F.col("kind") == F.col("a_kind")))
-    met = met.filter((F.col("owner") != F.col("a_owner")) & (F.col("start") <= F.col("a_end")) & (F.col("end") >= F.col("a_start")) & ((F.col("lock_type") == "write") | (F.col("a_type") == "write")))
-    return met.groupBy("ask_id").agg(F.min(F.struct("start", "seq")).alias("m")).select("ask_id", F.col("m.start").alias("start"), F.col("m.seq").alias("seq"))
+    Ranges are inclusive. Of the locks that end at the asked start or later the first one decides: if it begins after
+    the asked end, so do all others. So locks are cut to the first ones of two owners for every end, and those with the
+    asked starts to one pass from the last end on: over buckets of `width` first, a few rows each, then in every bucket.
+    Neither pairs nor the length of a range matter."""
+    of = ["kind", "write", "end"]
+    place = F.struct("start", "seq", "owner")
+    held = locks.withColumn("write", F.coalesce(F.col("lock_type") == "write", F.lit(False))).dropna(subset=["kind", "owner", "start", "end"])
+    first = counted(held.groupBy(*of).agg(F.min(place).alias("place")))
+    second = held.join(first.withColumnRenamed("place", "_first"), of).filter(F.col("owner") != F.col("_first.owner")).groupBy(*of).agg(F.min(place).alias("place"))
+    bucket = F.floor(F.col("at") / width).alias("bucket")
+    # a write meets all locks, a read those that write
+    ends = first.unionByName(second).withColumn("any", F.explode(F.when(F.col("write"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    ends = staged(ends.select("kind", "any", F.col("end").alias("at"), "place").withColumn("bucket", bucket))
+    want = asked.dropna(subset=["kind", "owner", "start", "end"]).select("ask_id", "kind", F.coalesce(F.col("lock_type") == "write", F.lit(False)).alias("any"), F.col("start").alias("at"), F.col("end").alias("a_end"), F.col("owner").alias("a_owner"))
+    starts = staged(want.select("kind", "any", "at").distinct().withColumn("bucket", bucket))
+    none = F.lit(None).cast(ends.schema["place"].dataType)
+
+    group = ["kind", "any", "bucket"]
+    total = two_first(ends, group, ["at", "place"]).groupBy(*group).agg(F.min("first").alias("first"), F.max_by("second", F.struct("at", "place")).alias("second"))
+    total = total.select(*group, F.explode(F.array("first", "second")).alias("place"), F.lit(1).alias("turn")).filter("place IS NOT NULL")
+    later = two_first(total.unionByName(starts.select(*group, none.alias("place"), F.lit(0).alias("turn")).distinct()), ["kind", "any"], [F.col("bucket").desc(), "turn", "place"]).filter("turn = 0")
+    later = later.select(*group, F.explode(F.array("first", "second")).alias("place")).filter("place IS NOT NULL")
+
+    # in a bucket: what comes from later ones, then from the last end on, an end before the starts equal to it
+    rows = later.select(*group, F.lit(None).cast("long").alias("at"), "place", F.lit(0).alias("turn")).unionByName(ends.withColumn("turn", F.lit(0))).unionByName(starts.withColumn("place", none).withColumn("turn", F.lit(1)))
+    met = two_first(rows, group, [F.col("at").desc_nulls_first(), "turn", "place"]).filter("turn = 1").select("kind", "any", "at", "first", "second")
+    met = want.join(counted(met), ["kind", "any", "at"]).withColumn("m", F.when(F.col("first.owner") != F.col("a_owner"), F.col("first")).otherwise(F.col("second")))
+    met = met.filter(F.col("m.start") <= F.col("a_end"))
+    return met.groupBy("ask_id").agg(F.min(F.struct("m.start", "m.seq")).alias("m")).select("ask_id", F.col("m.start").alias("start"), F.col("m.seq").alias("seq"))
 
 
 def reconcile(target: DataFrame, reference: DataFrame, key: str) -> DataFrame:

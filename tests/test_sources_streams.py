@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 
 from tidemark.operators import feed
@@ -53,6 +54,21 @@ def test_files_and_frames(spark, tmp_path):
     assert [(r.revision, bytes(r.body)) for r in C.read_frames(spark, str(tmp_path / "log")).collect()] == [(1, b"one"), (2, b"")]
 
 
+def test_logs_are_framed_and_read_in_pieces(spark):
+    rows = [(f"log{k % 3}", k, f"{k}é".encode() * (k % 40), k == 1501) for k in range(3000)] + [("none", 7, b"", False)]
+    logs = C.as_logs(spark.createDataFrame(rows, "path string, revision long, body binary, damaged boolean"))
+    for path, content in logs.collect():
+        frames = [C.frame(k, body)[: -1 if bad else None] + (b"?" if bad else b"") for p, k, body, bad in rows if p == path]
+        assert bytes(content) == b"".join(frames)
+    want = sorted((p, k, body) for p, k, body, _ in rows if p != "log1" or k < 1501)
+    assert sorted((r.file, r.revision, bytes(r.body)) for r in C.frames_of(logs).collect()) == want
+    whole = pa.RecordBatch.from_pylist([{"path": "a", "content": b"".join(C.frame(k, b"x") for k in range(1000))}] * 2)
+    assert [b.num_rows for b in C.read_pieces([whole], most=300)] == [300] * 6 + [200]
+    assert [b.num_rows for b in C.read_pieces([whole], most_bytes=900)] == [900, 900, 200]
+    with pytest.raises(Exception, match="a frame needs a version and a body"):
+        C.as_logs(spark.createDataFrame([("a", 1, None, False)], "path string, revision long, body binary, damaged boolean")).collect()
+
+
 def events(spark):
     rows = [(i, f"2024-01-01 {i // 12:02d}:{i % 12 * 5:02d}:00", i % 4, ("view", "click", "error")[i * 7 % 3], float(i), "{}") for i in range(60)]
     return spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").selectExpr("event_id", "CAST(ts AS timestamp_ntz) AS ts", "user_id", "event_type", "value", "props")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,35 +86,63 @@ def frame(version: int, body: bytes) -> bytes:
     return struct.pack(FRAME, MAGIC, version, len(body), frame_checksum(version, body)) + body
 
 
-def as_logs(records: DataFrame) -> DataFrame:
-    """Logs (path, content) of records (path, revision, body, damaged), by revision; a damaged one has a wrong byte."""
-    rows = F.array_sort(F.collect_list(F.struct("revision", "body", "damaged")))
+def little(n: Column) -> Column:
+    """A whole number's eight bytes, least first, in hexadecimal."""
+    big = F.lpad(F.hex(n.cast("long")), 16, "0")
+    return F.concat(*[F.substring(big, 15 - 2 * k, 2) for k in range(8)])
+
 
-    def write(logs: pd.Series) -> pd.Series:
-        one = lambda r: frame(r["revision"], bytes(r["body"]))[: -1 if r["damaged"] else None] + (b"?" if r["damaged"] else b"")
-        return pd.Series([b"".join(map(one, log)) for log in logs])
+def framed(version: Column, body: Column) -> Column:
+    """A frame as `frame` makes it, in hexadecimal; without a version or a body there is none, which fails the query."""
+    said = F.concat(little(version), little(F.octet_length(body)))
+    digest = F.sha2(F.concat(F.unhex(said), body), 256)
+    return F.coalesce(F.concat(F.lit(MAGIC.hex()), said, F.substring(digest, 1, 16), F.hex(body)), F.raise_error(F.lit("a frame needs a version and a body")))
 
-    return records.groupBy("path").agg(rows.alias("log")).select("path", F.pandas_udf(write, "binary")("log").alias("content"))
+
+def as_logs(records: DataFrame) -> DataFrame:
+    """Logs (path, content) of records (path, revision, body, damaged), by revision; a damaged one has a wrong byte."""
+    log = F.array_sort(F.collect_list(F.struct("revision", "body", "damaged")))
+
+    def one(r: Column) -> Column:
+        frame_hex = framed(r["revision"], r["body"])  # stands once in each branch, as a lambda works out every mention
+        return F.when(r["damaged"], F.regexp_replace(frame_hex, "..$", b"?".hex())).otherwise(frame_hex)
+
+    return records.groupBy("path").agg(log.alias("log")).select("path", F.unhex(F.array_join(F.transform("log", one), "")).alias("content"))
+
+
+def frames_in(data: memoryview):
+    """(version, body) of a log's frames up to the first torn or damaged one."""
+    at = 0
+    while at + FRAME_SIZE <= len(data):
+        magic, version, size, said = struct.unpack_from(FRAME, data, at)
+        body = bytes(data[at + FRAME_SIZE : at + FRAME_SIZE + size])
+        if magic != MAGIC or len(body) < size or frame_checksum(version, body) != said:
+            return
+        yield version, body
+        at += FRAME_SIZE + size
+
+
+def read_pieces(batches, most: int = 4096, most_bytes: int = 8 << 20):
+    """Arrow batches (file, revision, body) of batches of logs (path, content), so many frames or bytes at a time."""
+    rows, held = [], 0
+    table = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], ["file", "revision", "body"])
+    for batch in batches:
+        for name, content in zip(batch.column(0), batch.column(1), strict=True):
+            name, data = name.as_py(), content.as_buffer()
+            for version, body in frames_in(memoryview(b"" if data is None else data)):
+                rows.append((name, version, body))
+                held += len(body)
+                if len(rows) >= most or held >= most_bytes:
+                    yield table()
+                    rows, held = [], 0
+    if rows:
+        yield table()
 
 
 def frames_of(logs: DataFrame) -> DataFrame:
-    """(file, revision, body) of logs (path, content), up to the first torn or damaged frame of each."""
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for name, data in zip(batch["path"], batch["content"], strict=True):
-                at = 0
-                while at + FRAME_SIZE <= len(data):
-                    magic, version, size, said = struct.unpack_from(FRAME, data, at)
-                    body = data[at + FRAME_SIZE : at + FRAME_SIZE + size]
-                    if magic != MAGIC or len(body) < size or frame_checksum(version, body) != said:
-                        break
-                    rows.append((name, version, body))
-                    at += FRAME_SIZE + size
-            yield pd.DataFrame(rows, columns=["file", "revision", "body"])
-
-    return logs.select("path", "content").mapInPandas(run, "file string, revision long, body binary")
+    """(file, revision, body) of logs (path, content), up to the first torn or damaged frame of each. Frames are given
+    on by the thousand: a worker holds a batch of logs, which Spark bounds by bytes, not what is read of them."""
+    return logs.select("path", "content").mapInArrow(read_pieces, "file string, revision long, body binary")
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:

@@ -41,3 +41,13 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["serving_copies", "file_sources"])
+def test_copies_are_dealt_by_chunk_to_more_tasks_for_more_lines(spark, name, monkeypatch):
+    monkeypatch.setattr("tidemark.relations.LINES_A_TASK", 500)
+    df = QUERIES[name](spark, DIR)
+    lines = spark.read.parquet(f"{DIR}/lineitem.parquet").count()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "hashpartitioning(chunk_id" in x and f", {-(-lines // 500)})" in x]
+    assert dealt and not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "digest" in x]

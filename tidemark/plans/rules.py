@@ -29,7 +29,7 @@ def serving_copies(s, d):
 
 def file_sources(s, d):
     """Per extent of a file's layout the nodes that serve its chunk; none is an empty list."""
-    layout = load(s, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("chunk_id")).distinct()
+    layout = R.by_chunk(s, load(s, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("chunk_id")), "chunk_id").distinct()
     found = joins.layout_sources(layout, joins.serving(R.stored_copies(s, d), R.sessions(s, d), R.digested_chunks(s, d), NOW_MS))
     return found.select("file", "chunk_id", F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"))
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.session import load
 
 LIVE_ABOVE, DESIRED = 7000.0, 3
+#: Lines of a table that one task groups or joins by chunk.
+LINES_A_TASK = 250_000
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,11 +79,18 @@ def digested_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).withColumn("digest", F.md5(F.col("chunk_id").cast("string")))
 
 
+def by_chunk(spark: SparkSession, lines: DataFrame, chunk: str) -> DataFrame:
+    """Lines dealt by their chunk to so many tasks that each has about LINES_A_TASK of them, whatever the size of the
+    table: what is grouped or joined by chunk afterwards stays where it is."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES_A_TASK))
+    return lines.repartition(tasks, chunk)
+
+
 def stored_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies with where they lie and what was verified: (chunk_id, node_id, ready, node_epoch, device_id,
     device_epoch, catalog_revision, bytes, digest)."""
-    li = load(spark, sf_dir, "lineitem")
-    c = li.groupBy(F.col("l_partkey").alias("chunk_id"), F.col("l_suppkey").alias("node_id")).agg(
+    li = by_chunk(spark, load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("chunk_id"), F.col("l_suppkey").alias("node_id"), "l_returnflag", "l_linenumber", "l_quantity"), "chunk_id")
+    c = li.groupBy("chunk_id", "node_id").agg(
         (F.max("l_returnflag") == "A").alias("ready"), (F.max("l_linenumber") % 6).alias("node_epoch"), (F.min("l_linenumber") % 4).alias("device_id"), (F.count(F.lit(1)) % 3 + 1).alias("device_epoch"),
         (F.max("l_quantity").cast("long") % 7).alias("catalog_revision"), F.when(F.max("l_linenumber") == 7, 1).otherwise(0).alias("lost"), F.when(F.min("l_linenumber") == 5, "x").otherwise("").alias("altered"),
     )
